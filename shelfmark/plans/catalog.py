@@ -1,4 +1,4 @@
 """All bound queries; importing the modules registers them."""
 
-from shelfmark.plans import retrieval  # noqa: F401
+from shelfmark.plans import ingestion, retrieval  # noqa: F401
 from shelfmark.plans.registry import ORACLES, QUERIES  # noqa: F401
