@@ -102,3 +102,11 @@ def text_lines(c: Column) -> Column:
 
 def cjk_count(c: Column) -> Column:
     return F.length(F.regexp_replace(c, r"[^\x{4e00}-\x{9fff}]", ""))
+
+
+def fixed_text(x: Column, digits: int) -> Column:
+    """``x`` with a fixed number of decimals, rounded on its exact binary value, ties to even.
+
+    ``format_number`` rounds that way; ``format_string`` rounds the shortest decimal form up.
+    """
+    return F.replace(F.format_number(x, digits), F.lit(","), F.lit(""))

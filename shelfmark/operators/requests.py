@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import strip
+from shelfmark.functions.text import fixed_text, strip
 from shelfmark.functions.windows import previous, running
 
 # Limits, histogram bounds, prices (USD per million tokens), text formats.
@@ -53,15 +53,22 @@ def own_history(requests: DataFrame, threads: DataFrame) -> DataFrame:
     return asked.join(threads, "thread_id")
 
 
-def rate_limit(requests: DataFrame, limit: int, seconds: int = WINDOW_SECONDS) -> DataFrame:
+def rate_limit(
+    requests: DataFrame, limit: int, seconds: int = WINDOW_SECONDS, carried: DataFrame | None = None
+) -> DataFrame:
     """Number each request in its (bucket, window); the ones beyond ``limit`` are rejected.
 
     Rejected requests still count. ``retry_after`` is the rest of the window plus one second.
+    ``carried(bucket, window_start, carried_n)`` holds counts of earlier batches.
     """
     w = requests.withColumn("window_start", window_start(F.col("ts"), seconds))
     numbered = running(
         w, ["bucket", "window_start"], F.date_trunc("second", F.col("ts")), [F.col("ts"), F.col("request_id")], {"n": F.lit(1)}
     )
+    if carried is not None:
+        numbered = numbered.join(carried, ["bucket", "window_start"], "left").withColumn(
+            "n", F.col("n") + F.coalesce("carried_n", F.lit(0))
+        ).drop("carried_n")
     at = F.unix_seconds(F.col("ts").cast("timestamp"))
     rejected = F.col("n") > limit
     return numbered.withColumns(
@@ -69,27 +76,27 @@ def rate_limit(requests: DataFrame, limit: int, seconds: int = WINDOW_SECONDS) -
     )
 
 
-def token_budget(limited: DataFrame, budget: int) -> DataFrame:
+def token_budget(limited: DataFrame, budget: int, carried: DataFrame | None = None) -> DataFrame:
     """Post-paid daily budget after the rate limit.
 
     A request is rejected when the tokens used that day by earlier accepted requests of its
     bucket reach ``budget``. As tokens are never negative, once the running sum over all
     requests that passed the rate limit has reached the budget it stays there, so the sum
     over accepted ones and over all of them give the same verdict. ``limited`` is the
-    output of ``rate_limit`` with ``tokens``.
+    output of ``rate_limit`` with ``tokens``; ``carried(bucket, day, carried_tokens)`` holds
+    the sums of earlier batches.
     """
-    day = F.to_date("ts")
     charged = F.when(F.col("rejected"), F.lit(0)).otherwise(F.col("tokens")).cast("bigint")
     summed = running(
-        limited.withColumn("day", day), ["bucket", "day"], minute_of(F.col("ts")), [F.col("ts"), F.col("request_id")],
-        {"_upto": charged},
+        limited.withColumn("day", F.to_date("ts")), ["bucket", "day"], minute_of(F.col("ts")),
+        [F.col("ts"), F.col("request_id")], {"_upto": charged},
     )
     used = F.col("_upto") - charged
-    over = ~F.col("rejected") & (used >= budget)
-    reason = F.when(F.col("rejected"), "rpm").when(over, "budget")
-    return summed.select(
-        *[c for c in limited.columns], "day", F.least(used, F.lit(1 << 62)).alias("used_before"), reason.alias("reason")
-    )
+    if carried is not None:
+        summed = summed.join(carried, ["bucket", "day"], "left")
+        used = used + F.coalesce("carried_tokens", F.lit(0))
+    reason = F.when(F.col("rejected"), "rpm").when(used >= budget, "budget")
+    return summed.select(*limited.columns, "day", used.alias("used_before"), reason.alias("reason"))
 
 
 def rejections(verdicts: DataFrame) -> DataFrame:
@@ -145,6 +152,11 @@ def latency_hist(samples: DataFrame, labels: list[str], value: str, bounds: list
     counted = samples.groupBy(*labels, bound_index(F.col(value), bounds).alias("i")).agg(
         F.count("*").alias("c"), F.sum(value).alias("s")
     )
+    return cumulate(counted, labels, bounds)
+
+
+def cumulate(counted: DataFrame, labels: list[str], bounds: list[float]) -> DataFrame:
+    """Histogram rows from counts ``c`` and sums ``s`` per label set and bound position ``i``."""
     per_set = counted.groupBy(*labels).agg(
         F.collect_list(F.struct("i", "c")).alias("cells"), F.round(F.sum("s"), 4).alias("sum"), F.sum("c").alias("count")
     )
@@ -290,8 +302,8 @@ def usage_text(turns: DataFrame) -> DataFrame:
     cost, ms = F.col("cost_usd"), F.col("latency_ms")
     return turns.select(
         "turn_id",
-        F.when(cost < 0.001, "< ¥0.01").otherwise(F.concat(F.lit("≈ ¥"), F.format_string("%.2f", cost * CNY_PER_USD))).alias("cost"),
-        F.when(ms < 1000, F.format_string("%.0f ms", ms)).otherwise(F.format_string("%.1f 秒", ms / 1000)).alias("elapsed"),
+        F.when(cost < 0.001, "< ¥0.01").otherwise(F.concat(F.lit("≈ ¥"), fixed_text(cost * CNY_PER_USD, 2))).alias("cost"),
+        F.when(ms < 1000, F.concat(fixed_text(ms, 0), F.lit(" ms"))).otherwise(F.concat(fixed_text(ms / 1000, 1), F.lit(" 秒"))).alias("elapsed"),
         F.format_string("%d 次", F.col("llm_calls")).alias("calls"),
         F.when(F.col("tool_runs") > 0, F.format_string("%d 次", F.col("tool_runs"))).otherwise("未使用").alias("tools"),
         F.format_number("total_tokens", 0).alias("tokens"),
