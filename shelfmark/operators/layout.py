@@ -93,7 +93,7 @@ def table_markdown(rows: DataFrame, *, escape_bars: bool = False) -> DataFrame:
     def clean(cell):
         text = F.coalesce(cell, F.lit(""))
         if escape_bars:
-            return F.regexp_replace(text, r"\|", r"\\\\|")
+            return F.regexp_replace(text, r"\|", r"\\|")
         return strip(F.regexp_replace(text, r"(?U)\s+", " "))
 
     def line(cells):

@@ -291,3 +291,25 @@ def shrink_results(t):
     )
     payload = F.to_json(F.struct(item.alias("results"), F.col("text").alias("answer")))
     return tr.shrink_results(t["documents"].select("doc_id", payload.alias("json")), "json")
+
+
+@query("export_modes", """
+SELECT * FROM (SELECT 'append' AS how, CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role FROM conversations WHERE role = 'assistant'
+UNION ALL SELECT 'append', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR), role FROM conversations WHERE role = 'user'
+UNION ALL SELECT 'stamped', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR), role FROM conversations)""")
+def export_modes(t):
+    """Tables written by the export modes and read back: an overwrite, an append to it, a stamped copy."""
+    from shelfmark.functions.session import work_dir
+    from shelfmark.sources.sinks import export_table
+
+    rows = t["conversations"].select("conv_id", "turn", "role")
+    path = work_dir(t.spark, "export")
+    export_table(rows, path, "overwrite")
+    export_table(rows.filter("role = 'user'"), path, "overwrite")
+    export_table(rows.filter("role = 'assistant'"), path, "append")
+    copy = export_table(rows, path, "timestamp")
+
+    def back(where, how):
+        return t.spark.read.option("header", True).csv(where).select(F.lit(how).alias("how"), "conv_id", "turn", "role")
+
+    return back(path, "append").unionByName(back(copy, "stamped"))

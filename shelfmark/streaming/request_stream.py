@@ -113,12 +113,12 @@ class WindowCounter(StatefulProcessor):
         n = self.count.get()[0] if self.count.exists() else 0
         if not n:
             self.handle.registerTimer((key[1] + self.seconds) * 1000)
-        for part in rows:
-            part = part.sort_values(["ts", "request_id"])
-            part["n"] = range(n + 1, n + 1 + len(part))
-            part["rejected"] = part["n"] > self.limit
-            n += len(part)
-            yield part[["request_id", "bucket", "window_start", "n", "rejected"]]
+        # one window of one bucket within one micro-batch
+        part = pd.concat(list(rows)).sort_values(["ts", "request_id"], ignore_index=True)
+        part["n"] = part.index + n + 1
+        part["rejected"] = part["n"] > self.limit
+        n += len(part)
+        yield part[["request_id", "bucket", "window_start", "n", "rejected"]]
         self.count.update((n,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
