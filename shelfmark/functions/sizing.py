@@ -22,3 +22,12 @@ def is_bounded(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYT
 def broadcast_if_bounded(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Hint a broadcast after a size check; beyond it the join is left to shuffle + AQE."""
     return F.broadcast(df) if is_bounded(df, max_rows, max_bytes) else df
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give CPU-heavy row work enough tasks when a *file scan* has too few.
+
+    A big table has more splits than cores and is returned as it is, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -3,40 +3,48 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import md5
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import tokens
-
 DIMENSIONS = 64
 
 
-def term_slot(term: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Signed 1-based slot of a term: the sign comes from another part of the hash."""
-    digest = F.md5(term)
-    slot = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dimensions + 1
-    return F.when(F.substring(digest, 9, 1) < "8", slot).otherwise(-slot).cast("int")
-
+class _TermCodes(dict):
+    """Term to ``2 * slot + (1 if the sign is negative)``; forgets everything when it gets large."""
 
-def _count_slots(dimensions: int):
-    @F.pandas_udf("array<double>")
-    def count_slots(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for slots in batches:
-            out = []
-            for row in slots:
-                row = np.asarray(row, dtype=np.int64)
-                out.append(np.bincount(np.abs(row) - 1, weights=np.sign(row), minlength=dimensions))
-            yield pd.Series(out)
+    def __init__(self, dimensions: int, limit: int = 1 << 20):
+        super().__init__()
+        self.dimensions, self.limit = dimensions, limit
 
-    return count_slots
+    def __missing__(self, term: str) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        digest = md5(term.encode()).hexdigest()  # the sign comes from another part of the hash
+        code = self[term] = int(digest[:8], 16) % self.dimensions * 2 + (digest[8] >= "8")
+        return code
 
 
 def hash_counts(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Signed term counts per slot, as whole numbers in doubles."""
-    return _count_slots(dimensions)(F.transform(tokens(text), lambda t: term_slot(t, dimensions)))
+    """Signed white-space term counts per slot, as whole numbers in doubles; one Arrow batch at a time."""
+    width = 2 * dimensions
+
+    @F.pandas_udf("array<double>")
+    def count_slots(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        codes = _TermCodes(dimensions)
+        for texts in batches:
+            rows = [(t or "").split() for t in texts]
+            sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+            flat = np.fromiter(map(codes.__getitem__, chain.from_iterable(rows)), dtype=np.int64, count=sizes.sum())
+            cells = np.repeat(np.arange(len(rows)) * width, sizes) + flat
+            both = np.bincount(cells, minlength=len(rows) * width).reshape(len(rows), dimensions, 2)
+            yield pd.Series(list((both[:, :, 0] - both[:, :, 1]).astype(np.float64)))
+
+    return count_slots(text)
 
 
 def norm(v: Column) -> Column:
@@ -45,8 +53,16 @@ def norm(v: Column) -> Column:
 
 def normalise(v: Column) -> Column:
     """Unit length; a zero vector stays zero."""
-    size = norm(v)
-    return F.when(size > 1e-10, F.transform(v, lambda x: x / size)).otherwise(v)
+
+    @F.pandas_udf("array<double>")
+    def unit(raw: pd.Series) -> pd.Series:
+        if not len(raw):
+            return raw
+        m = np.stack([np.asarray(x, dtype=np.float64) for x in raw])
+        size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return pd.Series(list(np.divide(m, size, out=m, where=size > 1e-10)))
+
+    return unit(v)
 
 
 def embed(df: DataFrame, text_col: str, out: str = "vec", fn: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -55,8 +71,7 @@ def embed(df: DataFrame, text_col: str, out: str = "vec", fn: Callable[[Column],
     The default hashes terms into ``DIMENSIONS`` slots. To use a model, pass an iterator
     ``pandas_udf`` that loads it once per Python worker.
     """
-    raw = (fn or hash_counts)(F.col(text_col))
-    return df.withColumn("_raw", raw).withColumn(out, normalise(F.col("_raw"))).drop("_raw")
+    return df.withColumn(out, normalise((fn or hash_counts)(F.col(text_col))))
 
 
 def cosine(a: Column, b: Column) -> Column:

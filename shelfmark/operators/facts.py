@@ -66,7 +66,7 @@ def facts_from_json(pages: DataFrame, json_col: str = "json") -> DataFrame:
     rest = [c for c in pages.columns if c != json_col]
     clean = strip_json_fence(F.col(json_col))
     items = F.when(is_json(clean), F.from_json(clean, FACT_JSON))
-    rows = pages.select(*rest, F.posexplode(items).alias("fact_no", "f"))
+    rows = pages.select(*rest, F.posexplode_outer(items).alias("fact_no", "f"))
     facts = rows.select(*rest, "fact_no", "f.*").withColumn("is_estimate", F.coalesce("is_estimate", F.lit(0)))
     return is_complete(facts)
 
@@ -75,44 +75,36 @@ def extract_facts(pages: DataFrame, text_col: str = "text", min_chars: int = MIN
     """Read facts out of sentences such as ``<company><period><metric>为<number><unit>，...``.
 
     A clause without its own period takes the last actual (not forecast) one before it.
-    Adds ``fact_no, company, metric, raw_metric, value, unit, year, is_estimate``.
+    ``fact_no`` is the number of the clause on its page. Adds ``fact_no, company, metric, raw_metric, value, unit, year, is_estimate``.
     """
     rest = [c for c in pages.columns if c != text_col]
     company = F.regexp_extract(
         F.col(text_col), rf"^(.*?)(?:{ESTIMATE_WORDS})?(?:(?:19|20)\d{{2}}E?年|FY\d{{2}}|[12]H\d{{2}})", 1
     )
-    shape = (
-        rf"^((?:{ESTIMATE_WORDS})?(?:(?:{PERIOD})E?年?(?:{ESTIMATE_WORDS})?)?)"
-        r"(\D+?)(?:为|达到|达|是)?(-?\d[\d,]*(?:\.\d+)?.*)$"
-    )
-
-    def parse(clause):
-        return F.struct(
-            F.regexp_extract(clause, shape, 1).alias("period"),
-            F.regexp_extract(clause, shape, 2).alias("raw_metric"),
-            F.regexp_extract(clause, shape, 3).alias("number"),
-        )
-
-    clauses = F.split(F.expr(f"substring({text_col}, length(company) + 1)"), "[，。；;]")
+    own_period = rf"^((?:{ESTIMATE_WORDS})?(?:(?:{PERIOD})E?年?(?:{ESTIMATE_WORDS})?)?)"
+    shape = own_period + r"(\D+?)(?:为|达到|达|是)?(-?\d[\d,]*(?:\.\d+)?.*)$"
     long_enough = pages.filter(F.length(strip(F.col(text_col))) >= min_chars).withColumn("company", company)
-    parsed = long_enough.withColumn("c", F.filter(F.transform(clauses, parse), lambda x: x["number"] != ""))
-    actual = F.filter(
-        F.transform("c", lambda x, i: F.struct(i.alias("at"), x["period"].alias("period"))),
-        lambda x: period_year(x["period"]).isNotNull() & (period_is_estimate(x["period"]) == 0),
-    )
-    rows = parsed.withColumn("actual", actual).select(
-        *rest, "company", "actual", F.posexplode("c").alias("fact_no", "f")
-    )
-    before = F.filter("actual", lambda x: x["at"] <= F.col("fact_no"))
-    period = F.when(period_year(F.col("f.period")).isNotNull(), F.col("f.period")).otherwise(
-        F.try_element_at(before, F.lit(-1))["period"]
+    cut = long_enough.withColumn("_clauses", F.split(F.expr(f"substring({text_col}, length(company) + 1)"), "[，。；;]"))
+    rows = cut.select(*rest, "company", "_clauses", F.posexplode_outer("_clauses").alias("fact_no", "clause"))
+    parsed = rows.withColumns(
+        {
+            "period": F.regexp_extract("clause", own_period, 1),
+            "raw_metric": F.regexp_extract("clause", shape, 2),
+            "number": F.regexp_extract("clause", shape, 3),
+        }
+    ).filter(F.col("number") != "")
+    # A page has few clauses; those before this one are searched only when it has no period.
+    earlier = F.filter(
+        F.transform(F.slice("_clauses", F.lit(1), F.col("fact_no")), lambda c: F.regexp_extract(c, own_period, 1)),
+        lambda p: F.regexp_like(p, F.lit(PERIOD)) & ~F.regexp_like(p, F.lit(rf"{ESTIMATE_WORDS}|\d{{2}}E")),
     )
-    facts = rows.withColumn("period", period).select(
+    period = F.when(F.regexp_like("period", F.lit(PERIOD)), F.col("period")).otherwise(F.try_element_at(earlier, F.lit(-1)))
+    facts = parsed.withColumn("period", period).select(
         *rest, "fact_no", "company",
-        standard_metric(F.col("f.raw_metric")).alias("metric"),
-        F.col("f.raw_metric").alias("raw_metric"),
-        number_value(F.col("f.number")).alias("value"),
-        number_unit(F.col("f.number")).alias("unit"),
+        standard_metric(F.col("raw_metric")).alias("metric"),
+        "raw_metric",
+        number_value(F.col("number")).alias("value"),
+        number_unit(F.col("number")).alias("unit"),
         period_year(F.col("period")).alias("year"),
         period_is_estimate(F.col("period")).alias("is_estimate"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.sizing import broadcast_if_bounded
 from shelfmark.functions.text import tokens
-from shelfmark.operators.lexical import query_terms, term_stats, tokenise
+from shelfmark.operators.lexical import CorpusStats, corpus_stats, query_terms, tokenise
 
 # Fixed values of the retrieval pipeline.
 RRF_K = 60
@@ -51,17 +51,17 @@ def rrf_fuse(lexical: DataFrame | None, dense: DataFrame | None, pool: int = POO
 
 
 def coverage_scores(
-    pairs: DataFrame, queries: DataFrame, chunks: DataFrame, tokenizer=tokens
+    pairs: DataFrame, queries: DataFrame, chunks: DataFrame, tokenizer=tokens, stats: CorpusStats | None = None
 ) -> DataFrame:
     """Default pair scorer: the idf-weighted share of distinct query terms found in the chunk."""
     docs = tokenise(chunks, tokenizer)
-    weighted = query_terms(queries, tokenizer).join(term_stats(docs), "term", "left")
+    weighted = query_terms(queries, tokenizer).join((stats or corpus_stats(docs)).terms, "term", "left")
     weighted = weighted.select("query_id", "term", F.coalesce("idf", F.lit(0.0)).alias("idf"))
     total = weighted.groupBy("query_id").agg(F.sum("idf").alias("total"))
     wanted = broadcast_if_bounded(pairs)
     found = (
         docs.join(wanted.select("query_id", "chunk_id"), "chunk_id")
-        .select("query_id", "chunk_id", F.explode(F.array_distinct("terms")).alias("term"))
+        .select("query_id", "chunk_id", F.explode_outer(F.array_distinct("terms")).alias("term"))
         .join(weighted, ["query_id", "term"])
         .groupBy("query_id", "chunk_id")
         .agg(F.sum("idf").alias("covered"))

@@ -123,18 +123,23 @@ def vector_topk(
     can still hold something inside that angle are visited.
     """
     need = k + 1 if exclude_self else k
-    # Copies: one representative per distinct vector (smallest id), with the ids that can still be asked for.
-    per_copy = Window.partitionBy("vec").orderBy("chunk_id")
-    members = corpus.withColumn("_n", F.row_number().over(per_copy)).filter(F.col("_n") <= need).drop("_n")
-    groups = members.groupBy("vec").agg(F.min("chunk_id").alias("did"))
-    copies = members.join(groups, "vec").select("did", "chunk_id")
+    corpus = corpus.select("chunk_id", "vec")
+    # One representative per distinct vector: the smallest id among its copies.
+    groups = materialize(
+        corpus.groupBy("vec").agg(F.min("chunk_id").alias("did"), F.count("*").alias("copies")), "vectors"
+    )
     reps = groups.select("did", F.col("vec").alias("dvec"))
-    askers = queries.groupBy("vec").agg(F.min("query_id").alias("qid"))
-    query_map = queries.join(askers, "vec").select("query_id", "qid")
+    # Copies can only be asked for up to rank ``need``; single vectors need no row here.
+    per_copy = Window.partitionBy("did").orderBy("chunk_id")
+    copied = corpus.join(groups.filter(F.col("copies") > 1).select("vec", "did"), "vec").select("did", "chunk_id")
+    copies = copied.withColumn("_n", F.row_number().over(per_copy)).filter(F.col("_n") <= need).drop("_n")
+    asked = materialize(queries.select("query_id", "vec"), "query-vectors")
+    askers = asked.groupBy("vec").agg(F.min("query_id").alias("qid"))
+    query_map = asked.join(askers, "vec").select("query_id", "qid")
     asks = askers.select("qid", F.col("vec").alias("qvec"))
 
     if cells is None:
-        cells = 1 if is_bounded(corpus.select("chunk_id"), SMALL_CORPUS) else MAX_PIVOTS
+        cells = 1 if is_bounded(reps.select("did"), SMALL_CORPUS) else MAX_PIVOTS
     id_type = queries.schema["query_id"].dataType
     pivots = choose_pivots(reps, "dvec", cells) if cells > 1 else np.zeros((1, 1))
     if not len(pivots):
@@ -165,7 +170,7 @@ def vector_topk(
         away = bounded.select("qid", "qvec", F.explode(cells_to_visit("qvec", "cell", "n", "kth")).alias("cell"))
         found = found.select("qid", "did", "score").unionByName(_probe(away, placed, need, id_type))
     best = _rank(found, need).drop("rank")
-    rows = best.join(query_map, "qid").join(copies, "did")
+    rows = best.join(query_map, "qid").join(copies, "did", "left").withColumn("chunk_id", F.coalesce("chunk_id", "did"))
     if exclude_self:
         rows = rows.filter(F.col("query_id") != F.col("chunk_id"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id").asc())

@@ -302,9 +302,9 @@ def shrink_results(payloads: DataFrame, json_col: str, max_items: int = 5, max_c
     parsed = payloads.withColumn("_p", F.from_json(json_col, SEARCH_JSON))
     rows = parsed.select(
         *rest, trim_three_dots(F.col("_p.answer"), 1200).alias("answer"),
-        F.posexplode(F.slice("_p.results", 1, max_items)).alias("pos", "r"),
+        F.posexplode_outer(F.slice("_p.results", 1, max_items)).alias("pos", "r"),
     )
-    return rows.select(
+    return rows.filter(F.col("pos").isNotNull()).select(
         *rest, "pos", trim_three_dots(F.col("r.title"), 200).alias("title"), F.coalesce("r.url", F.lit("")).alias("url"),
         trim_three_dots(F.col("r.content"), max_chars).alias("content"), F.col("r.score").alias("score"),
         F.coalesce(F.nullif("r.published_date", F.lit("")), F.col("r.published_time")).alias("published_date"), "answer",

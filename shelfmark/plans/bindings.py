@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.functions.session import materialize
+from shelfmark.functions.sizing import spread
 from shelfmark.operators.embedding import embed
 
 
@@ -18,7 +20,7 @@ class Tables:
         self.folder = folder.rstrip("/")
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
     @cached_property
     def chunks(self) -> DataFrame:
@@ -42,7 +44,9 @@ class Tables:
 
     @cached_property
     def chunk_vectors(self) -> DataFrame:
-        return embed(self.chunks.select("chunk_id", "content"), "content").select("chunk_id", "vec")
+        """The vector store: written once, read by every search."""
+        rows = embed(self.chunks.select("chunk_id", "content"), "content").select("chunk_id", "vec")
+        return materialize(rows, "chunk-vectors")
 
     @cached_property
     def query_vectors(self) -> DataFrame:
@@ -166,7 +170,7 @@ def asked_before(t: Tables) -> DataFrame:
     from shelfmark.functions.text import query_hash
 
     rows = d.join(e, "doc_id").join(t.chunks.select("doc_id", "chunk_id"), "doc_id")
-    return embed(rows, "text").select(
+    entries = embed(rows, "text").select(
         F.col("doc_id").alias("entry_id"),
         query_hash(F.col("text")).alias("query_hash"),
         F.substring("text", 1, 60).alias("preview"),
@@ -175,6 +179,7 @@ def asked_before(t: Tables) -> DataFrame:
         "created_at",
         (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("expires_at"),
     )
+    return materialize(entries, "cache")
 
 
 def asked_now(t: Tables) -> DataFrame:

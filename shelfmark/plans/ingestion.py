@@ -84,7 +84,7 @@ def boxes(t):
 
 def page_lines(t):
     """Documents as lines, ``PAGE_LINES`` of them to a page."""
-    lines = t["documents"].select("doc_id", F.posexplode(text_lines(F.col("text"))).alias("no", "text"))
+    lines = t["documents"].select("doc_id", F.posexplode_outer(text_lines(F.col("text"))).alias("no", "text"))
     return lines.select(
         "doc_id", (F.floor(F.col("no") / PAGE_LINES) + 1).alias("page"), (F.col("no") + 1).alias("chunk_no"), "text"
     )
@@ -102,7 +102,7 @@ def doc_pages(t):
         F.sequence(F.lit(0), count - 1),
         lambda i: F.array_join(F.slice(lines, i * PAGE_LINES + 1, F.lit(PAGE_LINES)), "\n"),
     )
-    out = t["documents"].select("doc_id", F.posexplode(pages).alias("no", "text"))
+    out = t["documents"].select("doc_id", F.posexplode_outer(pages).alias("no", "text"))
     return out.select("doc_id", (F.col("no") + 1).alias("page"), "text", F.contains("text", F.lit("|")).alias("has_image"))
 
 

@@ -10,7 +10,7 @@ from shelfmark.functions.text import strip
 from shelfmark.operators import cache as result_cache
 from shelfmark.operators.embedding import embed
 from shelfmark.operators.fusion import coverage_scores, rerank_topk, rrf_fuse
-from shelfmark.operators.lexical import bm25_topk
+from shelfmark.operators.lexical import CorpusStats, bm25_topk, corpus_stats, tokenise
 from shelfmark.operators.nearest import vector_topk
 from shelfmark.operators.results import result_rows
 
@@ -20,9 +20,15 @@ COLUMNS = [
 ]
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, query_vectors: DataFrame) -> DataFrame:
-    """Both retrievers, fused: ``(query_id, chunk_id, score, bm25_rank, vec_rank, rank)``."""
-    return rrf_fuse(bm25_topk(queries, chunks), vector_topk(query_vectors, chunk_vectors))
+def retrieve(
+    queries: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, query_vectors: DataFrame, stats: CorpusStats | None = None
+) -> DataFrame:
+    """Both retrievers, fused: ``(query_id, chunk_id, score, bm25_rank, vec_rank, rank)``.
+
+    The list (20 rows per query at most) is written once, as scoring and shaping read it again.
+    """
+    lexical = bm25_topk(queries, chunks, stats=stats)
+    return materialize(rrf_fuse(lexical, vector_topk(query_vectors, chunk_vectors)), "fused")
 
 
 def knowledge_query(
@@ -37,11 +43,11 @@ def knowledge_query(
 
     ``cache(entry_id, query_hash, vec, chunk_ids, created_at, expires_at)`` answers repeated
     and near-repeated questions first; the others go through both retrievers, fusion and
-    rerank. The fused pool (20 rows per query at most) is written once and reused.
+    rerank.
     """
     clean = queries.withColumn("query", strip(F.coalesce("query", F.lit(""))))
     blank = clean.filter(F.col("query") == "")
-    asked = embed(clean.filter(F.col("query") != ""), "query")
+    asked = materialize(embed(clean.filter(F.col("query") != ""), "query"), "questions")
     if chunk_vectors is None:
         chunk_vectors = embed(chunks.select("chunk_id", "content"), "content").select("chunk_id", "vec")
     if cache is not None:
@@ -49,8 +55,10 @@ def knowledge_query(
         asked_now = asked.join(hits, "query_id", "left_anti")
     else:
         asked_now = asked
-    fused = materialize(retrieve(asked_now, chunks, chunk_vectors, asked_now.select("query_id", "vec")), "fused")
-    ranked = rerank_topk(coverage_scores(fused.select("query_id", "chunk_id", "rank"), asked_now, chunks), top_n)
+    stats = corpus_stats(tokenise(chunks))
+    fused = retrieve(asked_now, chunks, chunk_vectors, asked_now.select("query_id", "vec"), stats)
+    pairs = coverage_scores(fused.select("query_id", "chunk_id", "rank"), asked_now, chunks, stats=stats)
+    ranked = materialize(rerank_topk(pairs, top_n), "ranked")
     answers = ranked.select("query_id", "chunk_id", "rank")
     stages = asked_now.select("query_id").join(
         fused.groupBy("query_id").agg(F.count("*").alias("candidates_count")), "query_id", "left"

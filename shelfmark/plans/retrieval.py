@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfmark.functions.session import materialize
 from shelfmark.operators import cache as result_cache
-from shelfmark.operators.embedding import embed, hash_counts
+from shelfmark.operators.embedding import embed
 from shelfmark.operators.fusion import coverage_scores, rerank_fallback, rerank_topk, rrf_fuse
-from shelfmark.operators.lexical import bm25_topk
+from shelfmark.operators.lexical import bm25_topk, corpus_stats, tokenise
 from shelfmark.operators.nearest import semantic_dedup, vector_topk
 from shelfmark.operators.results import result_flat, result_rows
 from shelfmark.plans.bindings import (
     CACHE, CACHE_NOW, CHUNKS, DENSE, FUSED, LEXICAL, QUERIES_SQL, RERANKED, RETRIEVAL, WS_SQL,
     asked_before, asked_now, cache_now, strip_sql, tokens_sql, with_sql, _slots,
 )
-from shelfmark.plans.knowledge import knowledge_query as run_knowledge_query
+from shelfmark.plans.knowledge import knowledge_query as run_knowledge_query, retrieve
 from shelfmark.plans.registry import query
 
 TRIM3 = "CASE WHEN length({s}) <= {n} THEN {s} ELSE substr({s}, 1, {n} - 3) || '...' END"
@@ -69,8 +70,8 @@ def dense(t):
     return vector_topk(t.query_vectors, t.chunk_vectors)
 
 
-def fused_lists(t):
-    return rrf_fuse(bm25_topk(t.queries, t.chunks), vector_topk(t.query_vectors, t.chunk_vectors))
+def fused_lists(t, stats=None):
+    return retrieve(t.queries, t.chunks, t.chunk_vectors, t.query_vectors, stats)
 
 
 @query("rrf_fuse", with_sql(CHUNKS, QUERIES_SQL, LEXICAL, DENSE, FUSED) +
@@ -86,13 +87,16 @@ def fuse_one(t):
     return rrf_fuse(bm25_topk(t.queries, t.chunks), None).select("query_id", "chunk_id", "score", "rank")
 
 
-def scored_pairs(t):
-    return coverage_scores(fused_lists(t).select("query_id", "chunk_id", "rank"), t.queries, t.chunks)
+def fused_and_scored(t):
+    """The fused lists and their reranking scores, from one count of the corpus."""
+    stats = corpus_stats(tokenise(t.chunks))
+    fused = fused_lists(t, stats)
+    return fused, coverage_scores(fused.select("query_id", "chunk_id", "rank"), t.queries, t.chunks, stats=stats)
 
 
 @query("rerank_topk", RETRIEVAL + " SELECT query_id, chunk_id, score, rank, top_score FROM reranked")
 def rerank(t):
-    return rerank_topk(scored_pairs(t))
+    return rerank_topk(fused_and_scored(t)[1])
 
 
 @query("rerank_fallback", RETRIEVAL.replace("score > 0.1)", "score > 0.9)") + """
@@ -101,8 +105,8 @@ UNION ALL SELECT query_id, chunk_id, rank, true FROM fused
 WHERE rank <= 3 AND query_id NOT IN (SELECT query_id FROM reranked)""")
 def fallback(t):
     """A strict threshold leaves some questions empty, so that the fallback shows."""
-    pairs = scored_pairs(t)
-    return rerank_fallback(rerank_topk(pairs, threshold=0.9), fused_lists(t))
+    fused, pairs = fused_and_scored(t)
+    return rerank_fallback(rerank_topk(pairs, threshold=0.9), fused)
 
 
 @query("knowledge_query", with_sql(
@@ -165,7 +169,7 @@ WHERE n = 1 AND similarity >= 0.95""")
 def cache_semantic(t):
     """Only exact misses are compared by vector."""
     now, cache = cache_now(), asked_before(t)
-    asked = embed(asked_now(t), "query")
+    asked = materialize(embed(asked_now(t), "query"), "questions")
     exact = result_cache.exact_probe(asked, cache, now)
     missed = asked.join(exact.filter(F.col("entry_id").isNull()), "query_id", "left_semi")
     return result_cache.semantic_probe(missed, cache, now)
