@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,12 +59,18 @@ def judged(ranked: DataFrame, truth: DataFrame) -> DataFrame:
     return ranked.join(marks, ["query_id", "chunk_id"], "left").withColumn("rel", F.coalesce("_rel", F.lit(0))).drop("_rel")
 
 
-def average_precision(judged_rows: DataFrame) -> DataFrame:
-    """AP@k per query; 0 when nothing relevant was returned. At most k rows per query."""
+def average_precision(judged_rows: DataFrame, k: int = 10) -> DataFrame:
+    """AP@k per query; 0 when nothing relevant was returned. ``rank`` is at most ``k``.
+
+    Precisions are summed as whole multiples of 1/lcm(1..k), so the sum does not depend on
+    the order in which rows arrive.
+    """
+    unit = math.lcm(*range(1, k + 1))
     upto = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    rows = judged_rows.withColumn("prec", F.sum("rel").over(upto) / F.col("rank"))
-    sums = rows.groupBy("query_id").agg(F.sum(F.col("prec") * F.col("rel")).alias("s"), F.sum("rel").alias("r"))
-    return sums.select("query_id", F.round(F.coalesce(F.try_divide("s", "r"), F.lit(0.0)), 4).alias("context_precision"))
+    rows = judged_rows.withColumn("share", F.sum("rel").over(upto) * F.floor(F.lit(unit) / F.col("rank")))
+    sums = rows.groupBy("query_id").agg(F.sum(F.col("share") * F.col("rel")).alias("s"), F.sum("rel").alias("r"))
+    value = F.try_divide(F.col("s"), F.col("r") * unit)
+    return sums.select("query_id", F.round(F.coalesce(value, F.lit(0.0)), 4).alias("context_precision"))
 
 
 def recall(judged_rows: DataFrame, relevant: DataFrame) -> DataFrame:
@@ -85,7 +93,8 @@ def eval_summary(records: DataFrame) -> DataFrame:
     sets = r.groupingSets([[], [F.col("industry")]], F.col("industry"))
     out = sets.agg(
         F.grouping("industry").alias("is_global"),
-        *[F.round(F.avg(m), 4).alias(m) for m in METRICS],
+        # scores have four decimals; decimal means do not depend on row order
+        *[F.round(F.avg(F.col(m).cast("decimal(9,4)")), 4).cast("double").alias(m) for m in METRICS],
         F.count("*").alias("n"),
     )
     keep = (F.col("is_global") == 1) | ((F.col("n") >= MIN_GROUP) & (F.col("industry") != ""))

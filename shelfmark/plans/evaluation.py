@@ -98,8 +98,8 @@ def industry_dist(t):
 # --- scores of the vector search: same label means relevant ------------------------------
 
 SCORES = """judged AS (SELECT query_id, rank, CASE WHEN want = got THEN 1 ELSE 0 END AS rel FROM top),
-prec AS (SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY rank)::DOUBLE / rank AS p FROM judged),
-ap AS (SELECT query_id, round(coalesce(sum(p * rel) / nullif(sum(rel), 0), 0.0), 4) AS context_precision FROM prec GROUP BY query_id),
+prec AS (SELECT *, CAST(sum(rel) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) * (2520 // rank) AS p FROM judged),
+ap AS (SELECT query_id, round(coalesce(CAST(sum(p * rel) AS DOUBLE) / nullif(sum(rel) * 2520, 0), 0.0), 4) AS context_precision FROM prec GROUP BY query_id),
 sizes AS (SELECT label, count(*) - 1 AS n_relevant FROM v GROUP BY label),
 rec AS (SELECT query_id, sum(rel) > 0 AS hit, round(sum(rel)::DOUBLE / nullif(any_value(n_relevant), 0), 4) AS context_recall
   FROM judged JOIN v ON vec_id = query_id JOIN sizes USING (label) GROUP BY query_id),
@@ -143,9 +143,9 @@ def eval_records(t):
 
 
 SUMMARY = SCORES + """,
-summary AS (SELECT 'global' AS scope, NULL AS industry, round(avg(context_precision), 4) AS context_precision,
-    round(avg(context_recall), 4) AS context_recall, round(avg(faithfulness), 4) AS faithfulness, count(*) AS n FROM records
-  UNION ALL SELECT 'industry', industry, round(avg(context_precision), 4), round(avg(context_recall), 4), round(avg(faithfulness), 4), count(*)
+summary AS (SELECT 'global' AS scope, NULL AS industry, CAST((2 * sum(CAST(round(context_precision * 10000) AS BIGINT)) + count(context_precision)) // (2 * count(context_precision)) AS DOUBLE) / 10000 AS context_precision,
+    CAST((2 * sum(CAST(round(context_recall * 10000) AS BIGINT)) + count(context_recall)) // (2 * count(context_recall)) AS DOUBLE) / 10000 AS context_recall, CAST((2 * sum(CAST(round(faithfulness * 10000) AS BIGINT)) + count(faithfulness)) // (2 * count(faithfulness)) AS DOUBLE) / 10000 AS faithfulness, count(*) AS n FROM records
+  UNION ALL SELECT 'industry', industry, CAST((2 * sum(CAST(round(context_precision * 10000) AS BIGINT)) + count(context_precision)) // (2 * count(context_precision)) AS DOUBLE) / 10000, CAST((2 * sum(CAST(round(context_recall * 10000) AS BIGINT)) + count(context_recall)) // (2 * count(context_recall)) AS DOUBLE) / 10000, CAST((2 * sum(CAST(round(faithfulness * 10000) AS BIGINT)) + count(faithfulness)) // (2 * count(faithfulness)) AS DOUBLE) / 10000, count(*)
   FROM records WHERE trim(industry) <> '' GROUP BY industry HAVING count(*) >= 3)"""
 
 
