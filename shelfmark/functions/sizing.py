@@ -24,10 +24,10 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int
     return F.broadcast(df) if is_bounded(df, max_rows, max_bytes) else df
 
 
-def spread(scan: DataFrame) -> DataFrame:
+def spread(scan: DataFrame, most: int = 64) -> DataFrame:
     """Give CPU-heavy row work enough tasks when a *file scan* has too few.
 
-    A big table has more splits than cores and is returned as it is, without a shuffle.
+    A big table has more splits than that and is returned as it is, without a shuffle.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    tasks = min(scan.sparkSession.sparkContext.defaultParallelism, most)
+    return scan if scan.rdd.getNumPartitions() >= tasks else scan.repartition(tasks)

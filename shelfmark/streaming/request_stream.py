@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from shelfmark.functions.session import work_dir
 from shelfmark.operators import requests as rq
 from shelfmark.operators.ingest import upsert
-from shelfmark.streaming.runner import collect_batches, latest, run, use_rocksdb
+from shelfmark.streaming.runner import collect_batches, latest, rocksdb_state, run
 
 # A request is over after this many seconds without an event.
 REQUEST_TIMEOUT = "120 seconds"
@@ -134,11 +134,11 @@ def window_admission(requests: DataFrame, limit: int, seconds: int = rq.WINDOW_S
 
     Keys are (bucket, window), so one key sees at most one window of one bucket.
     """
-    use_rocksdb(requests.sparkSession)
     keyed = requests.withWatermark("ts", lateness).withColumn("window_start", rq.window_start(F.col("ts"), seconds))
     verdicts = keyed.groupBy("bucket", "window_start").transformWithStateInPandas(
         statefulProcessor=WindowCounter(limit, seconds),
         outputStructType="request_id long, bucket string, window_start long, n long, rejected boolean",
         outputMode="Append", timeMode="EventTime",
     )
-    return collect_batches(verdicts, "append").drop("batch")
+    with rocksdb_state(requests.sparkSession):
+        return collect_batches(verdicts, "append").drop("batch")
