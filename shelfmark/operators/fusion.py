@@ -54,13 +54,15 @@ def coverage_scores(
     pairs: DataFrame, queries: DataFrame, chunks: DataFrame, tokenizer=tokens, stats: CorpusStats | None = None
 ) -> DataFrame:
     """Default pair scorer: the idf-weighted share of distinct query terms found in the chunk."""
-    docs = tokenise(chunks, tokenizer)
-    weighted = query_terms(queries, tokenizer).join((stats or corpus_stats(docs)).terms, "term", "left")
+    stats = stats or corpus_stats(tokenise(chunks, tokenizer))
+    weighted = query_terms(queries, tokenizer).join(stats.terms, "term", "left")
     weighted = weighted.select("query_id", "term", F.coalesce("idf", F.lit(0.0)).alias("idf"))
     total = weighted.groupBy("query_id").agg(F.sum("idf").alias("total"))
     wanted = broadcast_if_bounded(pairs)
+    # Only candidate chunks are split into terms.
+    candidates = chunks.select("chunk_id", "content").join(wanted.select("chunk_id"), "chunk_id", "left_semi")
     found = (
-        docs.join(wanted.select("query_id", "chunk_id"), "chunk_id")
+        tokenise(candidates, tokenizer).join(wanted.select("query_id", "chunk_id"), "chunk_id")
         .select("query_id", "chunk_id", F.explode_outer(F.array_distinct("terms")).alias("term"))
         .join(weighted, ["query_id", "term"])
         .groupBy("query_id", "chunk_id")
