@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.functions.session import prepare
-from shelfmark.llm import tokens
+from shelfmark.llm import mixing, neardup, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +27,69 @@ def query(fn):
 def op8_token_counts(table) -> DataFrame:
     """Tokens of every document under the byte-level BPE vocabulary."""
     return tokens.token_counts(table("documents"), "byte_bpe_50k.json")
+
+
+@query
+def op9_superminhash_near_duplicates(table) -> DataFrame:
+    """Groups of documents whose two-word shingle sets are at least 80 % alike."""
+    return neardup.near_duplicates(table("documents"), k=2, share=80)
+
+
+@query
+def op2_golden_ratio_mix(table) -> DataFrame:
+    """Words that a mix of 150 % of all words takes from every document."""
+    return mixing.mix(table("documents"))
+
+
+@query
+def op6_sampled_splitters(table) -> DataFrame:
+    """Eight shards of near-equal bytes."""
+    return sharding.shards(table("documents"), 8)
+
+
+ORACLES["op2_golden_ratio_mix"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM d GROUP BY source),
+rounds AS (
+  SELECT 0 AS round, (SELECT 1.5 * sum(source_size) / sum(weight) FROM s) AS level
+  UNION ALL
+  SELECT r.round + 1, (SELECT (1.5 * (SELECT sum(source_size) FROM s) - sum(CASE WHEN 2 * source_size < weight * r.level THEN 2 * source_size ELSE 0 END))
+                       / sum(CASE WHEN 2 * source_size < weight * r.level THEN 0 ELSE weight END) FROM s)
+  FROM rounds r WHERE r.round < 60),
+goal AS (
+  SELECT source, source_size, least(2.0 * source_size, weight * (SELECT max(level) FROM rounds)) AS target FROM s),
+laid AS (
+  SELECT d.doc_id, d.size, g.source_size, g.target::DOUBLE AS target, round(g.target)::BIGINT AS take,
+         (sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR) NULLS FIRST, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING))::BIGINT AS upto
+  FROM d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN size = 0 THEN 0 ELSE (take // source_size) * size + greatest(0, least(upto, take % source_size) - (upto - size)) END AS taken
+FROM laid
+"""
+
+ORACLES["op6_sampled_splitters"] = r"""
+WITH crc_table AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)),
+bytes AS (
+  SELECT doc_id, coalesce(text, '') AS body FROM documents),
+d AS (
+  SELECT doc_id, strlen(body) + 1 AS size, md5(body) AS key,
+         list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda h: ('0x' || h)::BIGINT)),
+                     lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])) AS c
+  FROM bytes, crc_table),
+total AS (SELECT sum(size)::BIGINT AS n FROM d),
+placed AS (
+  SELECT *, (sum(size) OVER (ORDER BY key, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING))::BIGINT - size AS start,
+         row_number() OVER (ORDER BY key, doc_id NULLS FIRST) AS place, sum(size) OVER (PARTITION BY key) AS bytes
+  FROM d),
+grouped AS (
+  SELECT *, CASE WHEN bytes > n * 0.01 / 8 THEN start ELSE min(start) OVER (PARTITION BY key) END AS group_start FROM placed, total),
+sharded AS (SELECT *, least(7, group_start * 8 // n)::INT AS shard FROM grouped)
+SELECT doc_id, size, xor(c, 4294967295)::BIGINT AS text_crc32, 'bytes' AS law, shard,
+       (place - min(place) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard
+FROM sharded
+"""
