@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.functions.session import prepare
-from shelfmark.llm import mixing, neardup, sharding, tokens
+from shelfmark.llm import fingerprints, mixing, neardup, sharding, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,15 @@ SELECT doc_id, size, xor(c, 4294967295)::BIGINT AS text_crc32, 'bytes' AS law, s
        (place - min(place) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard
 FROM sharded
 """
+
+
+@query
+def op3_weighted_sampling_fingerprints(table) -> DataFrame:
+    """Fingerprint of every document and of its edited text, and how alike they are."""
+    return fingerprints.fingerprints(table("documents"))
+
+
+@query
+def op1_compression_toxicity(table) -> DataFrame:
+    """Probability that each document is toxic, learnt from the labelled documents."""
+    return toxicity.toxicity(table("documents"), table("labels"))

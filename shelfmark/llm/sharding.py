@@ -9,11 +9,12 @@ the result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.session import materialize
 from shelfmark.functions.windows import running
+from shelfmark.llm.ordered import below, filled
 
 #: Ranges the order is cut into, and sampled keys per range.
 RANGES, PER_RANGE = 512, 64
@@ -21,23 +22,6 @@ RANGES, PER_RANGE = 512, 64
 PIECES = 64
 
 
-def _rank_in(value: Column, bounds: Column, steps: int) -> Column:
-    """How many of the sorted ``bounds`` (padded with nulls to ``2**steps - 1``) lie below ``value``: a binary search."""
-
-    def step(at: Column, power: Column) -> Column:
-        probe = F.element_at(bounds, (at + power).cast("int"))
-        return F.when(probe < value, at + power).otherwise(at)
-
-    powers = F.array(*[F.lit(1 << i) for i in reversed(range(steps))])
-    return F.aggregate(powers, F.lit(0), step)
-
-
-def _padded(values: list[int]) -> tuple[Column, int]:
-    steps = max(1, len(values).bit_length())
-    cells = [*values, *[None] * ((1 << steps) - 1 - len(values))]
-    return F.lit("[" + ",".join("null" if v is None else str(v) for v in cells) + "]"), steps
-
-
 def shards(docs: DataFrame, n: int = 8, whole: float = 0.01, text: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every row of ``docs``.
 
@@ -69,11 +53,11 @@ def shards(docs: DataFrame, n: int = 8, whole: float = 0.01, text: str = "text")
         F.percentile_approx("place", [i / RANGES for i in range(1, RANGES)]).alias("at")
     ).first()[0]
     bounds = sorted({*(splitters or []), *(r[0] for r in cuts.select("place").collect())})
-    text_bounds, steps = _padded(bounds)
+    array, steps = filled(bounds)
     ranged = base.join(F.broadcast(cuts.select("key", "ids")), "key", "left")
-    ranged = ranged.withColumn("range", _rank_in(F.col("place"), F.from_json(text_bounds, "array<bigint>"), steps))
+    ranged = ranged.withColumn("range", below(F.col("place"), array, steps))
     padded = F.concat("ids", F.array_repeat(F.lit(None).cast("long"), PIECES - F.size("ids")))
-    piece = F.coalesce(_rank_in(F.col("doc_id"), padded, PIECES.bit_length() - 1), F.lit(0))
+    piece = F.coalesce(below(F.col("doc_id"), padded, PIECES.bit_length() - 1), F.lit(0))
     ranged = ranged.withColumn(
         "slice", F.struct("range", F.when(F.col("ids").isNull(), 0).otherwise(1 + piece).alias("piece"))
     ).withColumn("small", F.col("ids").isNull()).drop("ids", "range")
