@@ -10,8 +10,8 @@
   between groups is missed and no bucket is expanded into all its pairs.
 * A link counts only if the full shingle sets (64-bit shingle hashes) reach the similarity.
 
-With ``bands=48, rows=6`` a pair of similarity 0.8 shares no band with probability 4.6e-7, a pair of 0.25 shares
-one with 1.2 %.
+With ``bands=72, rows=8`` a pair of similarity 0.8 shares no band with probability 1.8e-6, a pair of 0.3 shares
+one with 0.5 %.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from shelfmark.llm.components import components
 
 U64 = np.uint64
 LOW = U64(0xFFFFFFFF)
-#: From this rank on the permutations of the few elements still open are kept as rows of a matrix.
-DENSE_FROM = 8
+#: Up to this rank a permutation is traced back through its swaps; later it is kept whole, ``MATRIX`` entries at a time.
+TRACED, MATRIX = 16, 1 << 22
 
 
 def superminhash(elements: np.ndarray, first: np.ndarray, m: int) -> np.ndarray:
@@ -40,40 +40,60 @@ def superminhash(elements: np.ndarray, first: np.ndarray, m: int) -> np.ndarray:
     Jaccard similarity. An empty set has no value below the largest integer.
     """
     n = len(first) - 1
-    sig = np.full(n * m, np.iinfo(U64).max, U64)
-    sizes = np.diff(first)
-    owner = np.repeat(np.arange(n), sizes)
+    sig = np.full((n, m), np.iinfo(U64).max, U64)
+    owner = np.repeat(np.arange(n), np.diff(first))
     drawn: list[np.ndarray] = []
-    dense: np.ndarray | None = None
-    for j in range(m):
+    for j in range(min(m, TRACED)):
+        x, k = _draw(elements, j, m)
+        at = k.copy()
+        for i in range(j - 1, -1, -1):  # undo the earlier swaps: what stood at k before step j?
+            at[at == drawn[i]] = i
+        drawn.append(k)
+        elements, owner, drawn = _settle(sig, elements, owner, at, x, j, drawn)
         if len(elements) == 0:
-            break
-        x = textkit.mix(elements, 1000 + j)
-        k = j + (((x & LOW) * U64(m - j)) >> U64(32)).astype(np.int64)
-        if j < DENSE_FROM:
-            at = k
-            for i in range(j - 1, -1, -1):  # undo the earlier swaps: what stood at k before step j?
-                at = np.where(at == drawn[i], i, at)
-            drawn.append(k)
-        else:
-            if dense is None:
-                dense = np.tile(np.arange(m, dtype=np.int16), (len(elements), 1))
-                rows = np.arange(len(elements))
-                for i, swap in enumerate(drawn):
-                    dense[rows, i], dense[rows, swap] = dense[rows, swap], dense[rows, i].copy()
-                drawn = []
-            rows = np.arange(len(elements))
-            at = dense[rows, k].astype(np.int64)
-            dense[rows, k] = dense[rows, j]
-            dense[rows, j] = at
-        np.minimum.at(sig, owner * m + at, (U64(j) << U64(32)) | (x >> U64(32)))
-        open_texts = (sig.reshape(n, m) >= U64((j + 1) << 32)).any(axis=1)
-        going = open_texts[owner]
-        if not going.all():
-            elements, owner = elements[going], owner[going]
-            drawn = [d[going] for d in drawn]
-            dense = dense[going] if dense is not None else None
-    return sig.reshape(n, m)
+            return sig
+    # few elements are left, of small sets: their permutations are kept as rows of a matrix, some sets at a time
+    cuts = np.flatnonzero(np.diff(owner, prepend=-1))
+    while len(cuts):
+        many = max(1, int(np.searchsorted(cuts, cuts[0] + MATRIX // m)))
+        stop = cuts[many] if many < len(cuts) else len(owner)
+        _finish(sig, elements[cuts[0] : stop], owner[cuts[0] : stop], [d[cuts[0] : stop] for d in drawn], m)
+        cuts = cuts[many:]
+    return sig
+
+
+def _draw(elements: np.ndarray, j: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    x = textkit.mix(elements, 1000 + j)
+    return x, (j + (((x & LOW) * U64(m - j)) >> U64(32)).astype(np.int64)).astype(np.int16)
+
+
+def _settle(sig, elements, owner, at, x, j, per_element):
+    """Put the values of rank ``j`` in place and drop the sets that no later value can change."""
+    m = sig.shape[1]
+    np.minimum.at(sig.reshape(-1), owner * m + at, (U64(j) << U64(32)) | (x >> U64(32)))
+    sets = owner[np.flatnonzero(np.diff(owner, prepend=-1))]
+    going = np.zeros(len(sig), bool)
+    going[sets] = (sig[sets] >= U64((j + 1) << 32)).any(axis=1)
+    going = going[owner]
+    if going.all():
+        return elements, owner, per_element
+    return elements[going], owner[going], [d[going] for d in per_element]
+
+
+def _finish(sig, elements, owner, drawn, m) -> None:
+    order = np.tile(np.arange(m, dtype=np.int16), (len(elements), 1))
+    rows = np.arange(len(elements))
+    for i, k in enumerate(drawn):
+        order[rows, i], order[rows, k] = order[rows, k], order[rows, i].copy()
+    for j in range(len(drawn), m):
+        x, k = _draw(elements, j, m)
+        rows = np.arange(len(elements))
+        at = order[rows, k]
+        order[rows, k] = order[rows, j]
+        order[rows, j] = at
+        elements, owner, (order,) = _settle(sig, elements, owner, at.astype(np.int64), x, j, [order])
+        if len(elements) == 0:
+            return
 
 
 def _signatures(k: int, bands: int, rows: int):
@@ -124,7 +144,7 @@ def _confirm(k: int, share: int):
 
 
 def near_duplicates(
-    docs: DataFrame, k: int = 5, share: int = 80, bands: int = 48, rows: int = 6, text: str = "text"
+    docs: DataFrame, k: int = 5, share: int = 80, bands: int = 72, rows: int = 8, text: str = "text"
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
