@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.functions.session import prepare
-from shelfmark.llm import fingerprints, mixing, neardup, sharding, tokens, toxicity
+from shelfmark.llm import fingerprints, mixing, neardup, sharding, substrings, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,6 +16,8 @@ ORACLES: dict[str, str] = {}
 def query(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         prepare(spark)
+        # Intermediate results are written tables, so the shuffles of a finished step need not stay on disk.
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         return fn(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
     run.__name__, run.__doc__ = fn.__name__, fn.__doc__
@@ -105,3 +107,9 @@ def op3_weighted_sampling_fingerprints(table) -> DataFrame:
 def op1_compression_toxicity(table) -> DataFrame:
     """Probability that each document is toxic, learnt from the labelled documents."""
     return toxicity.toxicity(table("documents"), table("labels"))
+
+
+@query
+def op5_suffix_automata_repeats(table) -> DataFrame:
+    """What is left of every document without the passages that an earlier document has."""
+    return substrings.remove_repeats(table("documents"), 13)
