@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.functions.session import prepare
-from shelfmark.llm import fingerprints, mixing, neardup, sharding, substrings, tokens, toxicity
+from shelfmark.llm import decontam, fingerprints, mixing, neardup, sharding, substrings, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +113,9 @@ def op1_compression_toxicity(table) -> DataFrame:
 def op5_suffix_automata_repeats(table) -> DataFrame:
     """What is left of every document without the passages that an earlier document has."""
     return substrings.remove_repeats(table("documents"), 13)
+
+
+@query
+def op10_cgk_decontamination(table) -> DataFrame:
+    """Passages of documents that are benchmark items, up to a fifth of their words."""
+    return decontam.leaks(table("documents"), table("benchmark"))
