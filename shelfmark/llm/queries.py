@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.functions.session import prepare
-from shelfmark.llm import decontam, fingerprints, mixing, neardup, sharding, substrings, tokens, toxicity
+from shelfmark.llm import decontam, fingerprints, kneser, mixing, neardup, sharding, substrings, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,9 @@ def op5_suffix_automata_repeats(table) -> DataFrame:
 def op10_cgk_decontamination(table) -> DataFrame:
     """Passages of documents that are benchmark items, up to a fifth of their words."""
     return decontam.leaks(table("documents"), table("benchmark"))
+
+
+@query
+def op4_kneser_ney_quality(table) -> DataFrame:
+    """Perplexity of every document under a model of trusted text, and whether it passes the quantiles of its language."""
+    return kneser.quality(table("documents"), table("labels"))
