@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.functions.session import prepare
-from shelfmark.llm import decontam, fingerprints, kneser, mixing, neardup, sharding, substrings, tokens, toxicity
+from shelfmark.llm import decontam, fingerprints, kneser, mixing, neardup, scoring, sharding, substrings, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +125,9 @@ def op10_cgk_decontamination(table) -> DataFrame:
 def op4_kneser_ney_quality(table) -> DataFrame:
     """Perplexity of every document under a model of trusted text, and whether it passes the quantiles of its language."""
     return kneser.quality(table("documents"), table("labels"))
+
+
+@query
+def op7_backoff_automaton_scores(table) -> DataFrame:
+    """log10 probability of every document under a model learnt from nine tenths of them."""
+    return scoring.log_probabilities(table("documents"))
