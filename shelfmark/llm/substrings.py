@@ -54,9 +54,11 @@ def _seed_rows(length: int):
         for batch in textkit.pieces(batches, "text"):
             w = textkit.words(batch.column("text"))
             g, _, place = _seeds(w, length)
-            place = np.unique(place)
-            owner = pa.array(w.text_of()[place])
-            yield pa.RecordBatch.from_arrays([pa.array(g[place].view(np.int64)), batch.column("doc_id").take(owner)], ["seed", "doc_id"])
+            place = place[np.flatnonzero(np.diff(place, prepend=-1))]
+            owner = w.text_of()[place]
+            once = np.unique(g[place] ^ textkit.mix(owner.astype(np.uint64), 3), return_index=True)[1]
+            place, owner = place[once], owner[once]
+            yield pa.RecordBatch.from_arrays([pa.array(g[place].view(np.int64)), batch.column("doc_id").take(pa.array(owner))], ["seed", "doc_id"])
 
     return run
 
@@ -166,7 +168,10 @@ class Automaton:
 
 
 def _shard_answers(length: int):
-    """Stream units sorted by seed; answer each with the first document of each of its windows."""
+    """Stream units sorted by seed; answer each with the first document of each of its windows.
+
+    Units of common seeds only get the hash of each window, to be answered by window.
+    """
 
     def answers(units: list[tuple[int, int, bytes]]) -> list[list[int]]:
         if len(units) == 1:
@@ -181,23 +186,25 @@ def _shard_answers(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seed, units = None, []
-        done: list[tuple[int, int, list[int]]] = []
+        done: list[tuple[int, int, int, list[int] | None, list[int] | None]] = []
 
         def flush() -> None:
             if units:
-                done.extend((seed, u, a) for (u, _, _), a in zip(units, answers(units)))
+                done.extend((seed, u, f, a, None) for (u, f, _), a in zip(units, answers(units)))
                 units.clear()
 
         def rows() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.list_(pa.int64()))],
-                ["seed", "unit", "firsts"],
-            )
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            out = [pa.array([d[i] for d in done], kind) for i, kind in enumerate(kinds)]
             done.clear()
-            return out
+            return pa.RecordBatch.from_arrays(out, ["seed", "unit", "first", "firsts", "windows"])
 
         for batch in batches:
-            for s, u, first, codes in zip(*(batch.column(c).to_pylist() for c in ("seed", "unit", "first", "codes"))):
+            for s, u, first, codes, common in zip(*(batch.column(c).to_pylist() for c in ("seed", "unit", "first", "codes", "common"))):
+                if common:
+                    keys = textkit.grams(textkit.mix(np.frombuffer(codes, "<u4").astype(np.uint64)), length)
+                    done.append((s, u, first, None, keys.view(np.int64).tolist()))
+                    continue
                 if s != seed:
                     flush()
                     seed = s
@@ -210,23 +217,6 @@ def _shard_answers(length: int):
     return run
 
 
-def _window_keys(length: int):
-    """Hash of every window of every unit."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {"seed": [], "unit": [], "first": [], "place": [], "window": []}
-            for s, u, first, codes in zip(*(batch.column(c).to_pylist() for c in ("seed", "unit", "first", "codes"))):
-                keys = textkit.grams(textkit.mix(np.frombuffer(codes, "<u4").astype(np.uint64)), length).view(np.int64).tolist()
-                for name, value in (("seed", s), ("unit", u), ("first", first)):
-                    out[name] += [value] * len(keys)
-                out["place"] += range(len(keys))
-                out["window"] += keys
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("seed", pa.int64()), ("unit", pa.int64()), ("first", pa.int64()), ("place", pa.int32()), ("window", pa.int64())]))
-
-    return run
-
-
 def _kept(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.pieces(batches, "text"):
@@ -256,23 +246,27 @@ def repeated_windows(docs: DataFrame, length: int = 13) -> DataFrame:
     """
     seeds = docs.select("doc_id", "text").mapInArrow(_seed_rows(length), "seed long, doc_id long")
     repeated = seeds.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("seed")
+    repeated = materialize(repeated, "repeated")  # a plain table on one side: the join can split common seeds
     by_doc = materialize(seeds.join(repeated, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")), "seeds")
     schema = "seed long, unit long, doc_id long, own long, at int, codes binary"
     units = materialize(docs.join(by_doc, "doc_id").select("doc_id", "own", "text", "seeds").mapInArrow(_unit_rows(length), schema), "units")
 
     distinct = units.groupBy("seed", "unit").agg(F.min("doc_id").alias("first"), F.first("codes").alias("codes"))
-    common = materialize(units.select("seed", "unit").distinct().groupBy("seed").count().filter(F.col("count") > MOST_UNITS).select("seed"), "common")
-    rare = distinct.join(common, "seed", "left_anti").repartition("seed").sortWithinPartitions("seed")
-    answers = materialize(rare.mapInArrow(_shard_answers(length), "seed long, unit long, firsts array<long>"), "answers")
-    windows = materialize(
-        distinct.join(common, "seed", "left_semi")
-        .mapInArrow(_window_keys(length), "seed long, unit long, first long, place int, window long"), "common-windows",
+    common = materialize(
+        units.select("seed", "unit").distinct().groupBy("seed").count().filter(F.col("count") > MOST_UNITS).select("seed", F.lit(True).alias("common")), "common"
     )
+    marked = distinct.join(common, "seed", "left").withColumn("common", F.coalesce("common", F.lit(False)))
+    # the units of a seed stay together, those of a common seed are spread
+    shards = marked.repartition("seed", F.when(F.col("common"), F.col("unit"))).sortWithinPartitions("seed")
+    schema = "seed long, unit long, first long, firsts array<long>, windows array<long>"
+    answers = materialize(shards.mapInArrow(_shard_answers(length), schema), "answers")
+    windows = answers.filter("windows is not null").select("seed", "unit", "first", F.posexplode("windows").alias("place", "window"))
     firsts = windows.groupBy("seed", "window").agg(F.min("first").alias("low"))
     of_common = windows.join(firsts, ["seed", "window"]).groupBy("seed", "unit").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("place", "low"))), lambda x: x["low"]).alias("firsts")
     )
-    found = units.drop("codes").join(answers.unionByName(of_common), ["seed", "unit"])
+    answered = answers.filter("firsts is not null").select("seed", "unit", "firsts").unionByName(of_common)
+    found = units.drop("codes").join(answered, ["seed", "unit"])
     starts = F.transform(
         F.filter(F.sequence(F.lit(0), F.size("firsts") - 1), lambda i: F.get("firsts", i) < F.col("doc_id")), lambda i: i + F.col("at")
     )
