@@ -6,7 +6,9 @@
   rank by rank together, and a text stops as soon as every position holds a value below the next rank.
 * Equal sets are collapsed by a 128-bit set hash before anything is compared, so exact copies cost one row each.
 * Texts that share a band meet in a bucket. Every member is first checked against the smallest id of its bucket
-  only; after grouping, buckets that still hold several groups have the pairs *across* groups checked. So no link
+  only. After grouping, the members of buckets that still hold several groups are checked against one pivot drawn
+  from their bucket, ``PIVOTS`` times over: a text meets other pivots in each of its buckets, so groups with a link
+  between them soon fall together. Then the pairs *across* the groups left in a bucket are checked. So no link
   between groups is missed and no bucket is expanded into all its pairs.
 * A link counts only if the full shingle sets (64-bit shingle hashes) reach the similarity.
 
@@ -31,6 +33,7 @@ U64 = np.uint64
 LOW = U64(0xFFFFFFFF)
 #: Up to this rank a permutation is traced back through its swaps; later it is kept whole, ``MATRIX`` entries at a time.
 TRACED, MATRIX = 16, 1 << 22
+PIVOTS = 2
 
 
 def superminhash(elements: np.ndarray, first: np.ndarray, m: int) -> np.ndarray:
@@ -171,28 +174,38 @@ def near_duplicates(
         a, b = (texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
         return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_confirm(k, share), "a long, b long")
 
-    to_leader = materialize(
-        members.filter("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"), F.col("n").alias("n_b")).distinct()
-        .join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("n_a")), "a").filter(close),
-        "leader-pairs",
-    )
-    links = materialize(confirmed(to_leader), "links")
-    groups = components(links)
+    def untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+        """Distinct pairs ``a < b`` of texts whose sizes allow a link, without those tried before."""
+        ordered = pairs.filter("a <> b").filter(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return materialize(ordered if tried is None else ordered.join(tried, ["a", "b"], "left_anti"), "pairs")
 
-    labelled = members.join(groups.select(F.col("id").alias("rep"), "label"), "rep", "left").select(
-        "bucket", "rep", "n", F.coalesce("label", "rep").alias("label")
+    tried = untried(
+        members.select(F.col("leader").alias("a"), F.col("rep").alias("b"), F.col("n").alias("n_b"))
+        .join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("n_a")), "a"), None,
     )
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("bucket")
-    rest = materialize(labelled.join(mixed, "bucket", "left_semi"), "mixed-buckets")
-    a, b = (rest.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "label")]) for s in "ab")
-    across = (
-        a.join(b, "bucket").filter("rep_a < rep_b and label_a <> label_b").filter(close)
-        .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
-        .join(to_leader.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    late = materialize(confirmed(across), "late-links")
-    if not late.isEmpty():
-        groups = components(links.union(late))
+    links = materialize(confirmed(tried), "links")
+    groups = components(links)
+    for turn in range(PIVOTS + 1):
+        labelled = members.join(groups.select(F.col("id").alias("rep"), "label"), "rep", "left").select(
+            "bucket", "rep", "n", F.coalesce("label", "rep").alias("label")
+        )
+        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("bucket")
+        rest = materialize(labelled.join(mixed, "bucket", "left_semi"), "mixed-buckets")
+        if rest.isEmpty():
+            break
+        a, b = (rest.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("n", "label")], F.col("rep").alias(s)) for s in "ab")
+        if turn < PIVOTS:
+            drawn = F.xxhash64("bucket", "a", F.lit(turn))
+            pivot = a.groupBy("bucket").agg(F.min_by(F.struct("a", "n_a", "label_a"), drawn).alias("p")).select("bucket", "p.*")
+            across = pivot.join(b, "bucket").filter("label_a <> label_b")
+        else:
+            across = a.join(b, "bucket").filter("a < b and label_a <> label_b")
+        pairs = untried(across, tried)
+        found = materialize(confirmed(pairs), "links")
+        tried = tried.unionByName(pairs)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            groups = components(links)
 
     node = sig.select("doc_id", "n_shingles", "s1", "s2").join(sets.select("s1", "s2", "rep"), ["s1", "s2"], "left")
     group = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("label", "rep")).otherwise(F.col("doc_id"))
