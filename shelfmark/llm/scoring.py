@@ -15,17 +15,20 @@ Words are 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.session import materialize
+from shelfmark.functions.session import discard, materialize
 from shelfmark.llm import textkit
 
 #: Pairs of words seen less often in the training documents have no arc of their own.
 CUTOFF = 2
+#: The pairs of the documents go to their shards in so many turns, each a part of the shards, to halve the shuffle on disk.
+TURNS = 2
 #: States that are no words.
 START, END = (int(x) for x in textkit.mix(np.array([1, 2], np.uint64), 99).view(np.int64))
 
@@ -118,6 +121,7 @@ def log_probabilities(docs: DataFrame, text: str = "text", cutoff: int = CUTOFF)
     arcs = pairs.join(states, "v").join(single.select("w", "p"), "w")
     difference = F.log10((F.col("c2") - F.lit(cut)) / F.col("total") / (F.col("back") * F.col("p")) + 1)
     arcs = materialize(arcs.select(F.xxhash64("v", "w").alias("pair"), difference.alias("gain")), "arcs")
+    discard(pairs)
     at_start = states.filter(F.col("v") == START).select(F.log10("back").alias("b")).first()
     entry = at_start["b"] if at_start else 0.0
     lexicon = materialize(
@@ -137,7 +141,12 @@ def log_probabilities(docs: DataFrame, text: str = "text", cutoff: int = CUTOFF)
         F.sum(F.col("n") * F.col("base")).alias("base_score"), F.sum(F.col("n") * F.col("step")).alias("steps"),
     ), "word-sums")
     by_pair = sent.mapInArrow(_pairs_of_rows, "row long, v long, w long, n int").select("row", "n", F.xxhash64("v", "w").alias("pair"))
-    pair_sums = materialize(by_pair.join(arcs.hint("shuffle_hash"), "pair").groupBy("row").agg(F.sum(F.col("n") * F.col("gain")).alias("gain")), "pair-sums")
+    gains = []
+    for turn in range(TURNS):
+        mine = F.pmod("pair", F.lit(TURNS)) == turn
+        met = by_pair.filter(mine).join(arcs.filter(mine).hint("shuffle_hash"), "pair")
+        gains.append(materialize(met.groupBy("row").agg(F.sum(F.col("n") * F.col("gain")).alias("gain")), "pair-sums"))
+    pair_sums = reduce(DataFrame.unionByName, gains).groupBy("row").agg(F.sum("gain").alias("gain"))
     score = F.col("steps") + F.lit(entry) + F.coalesce("gain", F.lit(0.0)) if n else F.col("base_score")
     return numbered.select("row", "doc_id", "held_out").join(word_sums, "row").join(pair_sums, "row", "left").select(
         "doc_id", "held_out", F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_known").cast("long").alias("n_known"),
