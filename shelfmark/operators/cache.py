@@ -36,8 +36,14 @@ def exact_probe(queries: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
 def semantic_probe(
     misses: DataFrame, cache: DataFrame, now: Column, threshold: float = SIMILARITY
 ) -> DataFrame:
-    """Nearest live entry per missed query ``(query_id, vec)``, if similar enough."""
-    entries = live(latest_entries(cache), now).select(F.col("entry_id").alias("chunk_id"), "vec")
+    """Nearest live entry per missed query ``(query_id, vec)``, if similar enough.
+
+    Entries written to the exact tier only (``write_semantic`` false, or no vector) never answer here.
+    """
+    current = live(latest_entries(cache), now).filter(F.col("vec").isNotNull())
+    if "write_semantic" in cache.columns:
+        current = current.filter("write_semantic")
+    entries = current.select(F.col("entry_id").alias("chunk_id"), "vec")
     best = vector_topk(misses.select("query_id", "vec"), entries, k=1)
     return best.filter(F.col("score") >= threshold).select(
         "query_id", F.col("chunk_id").alias("entry_id"), F.col("score").alias("similarity")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,10 +87,13 @@ def recall(judged_rows: DataFrame, relevant: DataFrame) -> DataFrame:
 def eval_summary(records: DataFrame) -> DataFrame:
     """Means of the metrics over all records and per industry, in one pass.
 
-    ``scope`` is global or industry. NULL metrics do not count; blank industries form no
+    ``scope`` is global or industry. A missing precision (NULL or NaN) counts as 0, other NULL metrics do not count; blank industries form no
     group and industries with fewer than three records are left out.
     """
-    r = records.withColumn("industry", strip(F.coalesce("industry", F.lit(""))))
+    r = records.withColumns({
+        "industry": strip(F.coalesce("industry", F.lit(""))),
+        "context_precision": F.nanvl(F.coalesce("context_precision", F.lit(0.0)), F.lit(0.0)),
+    })
     sets = r.groupingSets([[], [F.col("industry")]], F.col("industry"))
     out = sets.agg(
         F.grouping("industry").alias("is_global"),
@@ -137,3 +141,20 @@ def eval_detail(records: DataFrame) -> DataFrame:
         "question", "industry", "page", preview.alias("chunk_text_preview"), *METRICS, "retrieve_ok",
         F.size("contexts").alias("contexts_count"), F.to_json("sources").alias("sources"),
     )
+
+
+# Categories in order of precedence and the words that name them.
+INDUSTRY_KEYWORDS = {
+    "半导体": ["半导体", "芯片", "存储", "AI算力", "光刻机"],
+    "房地产开发": ["房地产", "宅地", "楼面价", "住宅", "土拍"],
+    "能源金属": ["金属", "锂", "铜", "黄金", "钢铁", "锡", "稀土"],
+    "电力": ["电力", "风电", "光伏", "核电", "火电"],
+    "教育": ["教育", "学习", "早教行业", "AI教育", "在线教育", "升学", "课堂活动"],
+    "互联网电商": ["电商", "GMV", "跨境电商", "物流"],
+}
+
+
+def industry_tag(text: Column, keywords: dict[str, list[str]] = INDUSTRY_KEYWORDS) -> Column:
+    """The first category one of whose words stands in ``text``; NULL if none does."""
+    hits = [F.when(reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in words]), name) for name, words in keywords.items()]
+    return F.coalesce(*hits)

@@ -139,9 +139,13 @@ class BadInput(ValueError):
 def query_metrics(spark: SparkSession, facts: DataFrame, sql: str, args: dict | None = None) -> DataFrame:
     """Run one read-only statement over the view ``financial_metrics``.
 
-    The statement must begin with SELECT (or WITH); Spark parses, plans and runs it.
+    The statement must begin with SELECT: a WITH could lead an INSERT. Spark parses, plans and runs it; the view is
+    gone as soon as the statement is planned.
     """
-    if not re.match(r"\s*(SELECT|WITH)\b", sql, re.IGNORECASE):
+    if not re.match(r"\s*SELECT\b", sql, re.IGNORECASE):
         raise BadInput("only SELECT is allowed")
     facts.createOrReplaceTempView("financial_metrics")
-    return spark.sql(sql, args=args)
+    try:
+        return spark.sql(sql, args=args)
+    finally:
+        spark.catalog.dropTempView("financial_metrics")

@@ -24,14 +24,20 @@ def result_key(chunk_id: Column, content: Column) -> Column:
 
 
 def rrf_fuse(lexical: DataFrame | None, dense: DataFrame | None, pool: int = POOL, k: int = RRF_K) -> DataFrame:
-    """Reciprocal-rank fusion of two lists ``(query_id, chunk_id, rank)``.
+    """Reciprocal-rank fusion of two lists ``(query_id, chunk_id, rank)``, ``content`` optional.
 
-    Either list may be missing; the other then stands alone. Ties keep the order in which
+    A result without an id is known by the start of its text; without both it stands alone. Either list may be missing; the other then stands alone. Ties keep the order in which
     results are first seen: the lexical list first, then the dense one.
     """
     lists = [(lexical, "bm25_rank", "vec_rank"), (dense, "vec_rank", "bm25_rank")]
     parts = [
-        df.select("query_id", "chunk_id", F.col("rank").alias(mine), F.lit(None).cast("int").alias(other))
+        df.select(
+            "query_id", "chunk_id", F.col("rank").alias(mine), F.lit(None).cast("int").alias(other),
+            F.coalesce(
+                result_key(F.col("chunk_id").cast("string"), F.col("content") if "content" in df.columns else F.lit(None).cast("string")),
+                F.concat(F.lit(f"{mine} "), F.col("rank").cast("string")),
+            ).alias("_key"),
+        )
         for df, mine, other in lists
         if df is not None
     ]
@@ -39,7 +45,8 @@ def rrf_fuse(lexical: DataFrame | None, dense: DataFrame | None, pool: int = POO
         raise ValueError("both lists are missing")
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     share = F.coalesce(1.0 / (k + F.col("bm25_rank")), F.lit(0.0)) + F.coalesce(1.0 / (k + F.col("vec_rank")), F.lit(0.0))
-    fused = both.groupBy("query_id", "chunk_id").agg(
+    fused = both.groupBy("query_id", "_key").agg(
+        F.min("chunk_id").alias("chunk_id"),
         F.round(F.sum(share), 9).alias("score"),
         F.min("bm25_rank").alias("bm25_rank"),
         F.min("vec_rank").alias("vec_rank"),
@@ -47,7 +54,8 @@ def rrf_fuse(lexical: DataFrame | None, dense: DataFrame | None, pool: int = POO
     best = Window.partitionBy("query_id").orderBy(
         F.col("score").desc(), F.col("bm25_rank").asc_nulls_last(), F.col("vec_rank").asc_nulls_last()
     )
-    return fused.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= pool)
+    ranked = fused.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= pool)
+    return ranked.select("query_id", "chunk_id", "score", "bm25_rank", "vec_rank", "rank")
 
 
 def coverage_scores(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import fixed_text, strip
-from shelfmark.functions.windows import previous, running
+from shelfmark.functions.windows import join_back, previous, running
 
 # Limits, histogram bounds, prices (USD per million tokens), text formats.
 WINDOW_SECONDS = 60
@@ -80,9 +80,9 @@ def token_budget(limited: DataFrame, budget: int, carried: DataFrame | None = No
     """Post-paid daily budget after the rate limit.
 
     A request is rejected when the tokens used that day by earlier accepted requests of its
-    bucket reach ``budget``. As tokens are never negative, once the running sum over all
-    requests that passed the rate limit has reached the budget it stays there, so the sum
-    over accepted ones and over all of them give the same verdict. ``limited`` is the
+    bucket reach ``budget``. Only accepted requests are charged, so ``used_before`` stops at the
+    first sum that reaches the budget: tokens are never negative, so that is the smallest such
+    sum over all requests that passed the rate limit. ``limited`` is the
     output of ``rate_limit`` with ``tokens``; ``carried(bucket, day, carried_tokens)`` holds
     the sums of earlier batches.
     """
@@ -95,8 +95,11 @@ def token_budget(limited: DataFrame, budget: int, carried: DataFrame | None = No
     if carried is not None:
         summed = summed.join(carried, ["bucket", "day"], "left")
         used = used + F.coalesce("carried_tokens", F.lit(0))
-    reason = F.when(F.col("rejected"), "rpm").when(used >= budget, "budget")
-    return summed.select(*limited.columns, "day", used.alias("used_before"), reason.alias("reason"))
+    summed = summed.withColumn("_used", used)
+    spent = summed.filter(F.col("_used") >= budget).groupBy("bucket", "day").agg(F.min("_used").alias("_spent"))
+    capped = join_back(summed, spent, ["bucket", "day"]).withColumn("used_before", F.least("_used", "_spent"))
+    reason = F.when(F.col("rejected"), "rpm").when(F.col("used_before") >= budget, "budget")
+    return capped.select(*limited.columns, "day", "used_before", reason.alias("reason"))
 
 
 def rejections(verdicts: DataFrame) -> DataFrame:
@@ -147,9 +150,9 @@ def latency_hist(samples: DataFrame, labels: list[str], value: str, bounds: list
     """Cumulative histogram per label set: one row per bound and +Inf, with sum and count.
 
     Samples are counted per bound before the shuffle; the cumulation then runs over at most
-    one row per bound.
+    one row per bound. A NULL sample is no observation.
     """
-    counted = samples.groupBy(*labels, bound_index(F.col(value), bounds).alias("i")).agg(
+    counted = samples.filter(F.col(value).isNotNull()).groupBy(*labels, bound_index(F.col(value), bounds).alias("i")).agg(
         F.count("*").alias("c"), F.sum(value).alias("s")
     )
     return cumulate(counted, labels, bounds)

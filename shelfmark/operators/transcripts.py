@@ -171,7 +171,10 @@ def bounded_payload(items: DataFrame, max_chars: int) -> DataFrame:
     )
     fits = F.col("_used") <= max_chars
     flags = sized.groupBy("payload_id").agg(F.count_if(fits).alias("kept_results"), F.count("*").alias("total_results"))
-    return sized.filter(fits).join(flags, "payload_id").select(
+    kept = sized.filter(fits).select(*[F.col(c).alias(f"_k_{c}") if c == "payload_id" else F.col(c) for c in items.columns])
+    # a payload of which nothing fits keeps one row for its flags
+    whole = flags.join(kept, F.col("payload_id") == F.col("_k_payload_id"), "left")
+    return whole.select(
         *items.columns, "kept_results", "total_results", (F.col("kept_results") < F.col("total_results")).alias("truncated")
     )
 
@@ -295,7 +298,10 @@ SEARCH_JSON = (
 
 
 def shrink_results(payloads: DataFrame, json_col: str, max_items: int = 5, max_chars: int = 800) -> DataFrame:
-    """Leading search results of each payload with their texts cut: one row per result."""
+    """Leading search results of each payload with their texts cut: one row per result.
+
+    A payload without results keeps one row for its answer, with ``pos`` NULL.
+    """
     from shelfmark.functions.text import trim_three_dots
 
     rest = [c for c in payloads.columns if c != json_col]
@@ -304,8 +310,9 @@ def shrink_results(payloads: DataFrame, json_col: str, max_items: int = 5, max_c
         *rest, trim_three_dots(F.col("_p.answer"), 1200).alias("answer"),
         F.posexplode_outer(F.slice("_p.results", 1, max_items)).alias("pos", "r"),
     )
-    return rows.filter(F.col("pos").isNotNull()).select(
-        *rest, "pos", trim_three_dots(F.col("r.title"), 200).alias("title"), F.coalesce("r.url", F.lit("")).alias("url"),
-        trim_three_dots(F.col("r.content"), max_chars).alias("content"), F.col("r.score").alias("score"),
+    return rows.select(
+        *rest, "pos", F.when(F.col("pos").isNotNull(), trim_three_dots(F.col("r.title"), 200)).alias("title"),
+        F.when(F.col("pos").isNotNull(), F.coalesce("r.url", F.lit(""))).alias("url"),
+        F.when(F.col("pos").isNotNull(), trim_three_dots(F.col("r.content"), max_chars)).alias("content"), F.col("r.score").alias("score"),
         F.coalesce(F.nullif("r.published_date", F.lit("")), F.col("r.published_time")).alias("published_date"), "answer",
     )

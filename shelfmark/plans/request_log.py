@@ -47,8 +47,9 @@ LIMITED = f"""lim AS (SELECT *, n > {LIMIT} AS rejected, CASE WHEN n > {LIMIT} T
   SELECT *, row_number() OVER (PARTITION BY bucket, window_start ORDER BY ts, request_id) AS n FROM (
     SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS s, CAST(floor(epoch(ts)) AS BIGINT) // {WINDOW} * {WINDOW} AS window_start FROM req)))"""
 BUDGETED = f"""bud AS (SELECT *, CASE WHEN rejected THEN 'rpm' WHEN used_before >= {BUDGET} THEN 'budget' END AS reason FROM (
-  SELECT *, CAST(coalesce(sum(CASE WHEN rejected THEN 0 ELSE tokens END) OVER (PARTITION BY bucket, CAST(ts AS DATE) ORDER BY ts, request_id
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS used_before FROM lim))"""
+  SELECT *, list_reduce(list_concat([0::BIGINT], coalesce(before, [])), lambda used, x: CASE WHEN used >= {BUDGET} THEN used ELSE used + x END) AS used_before FROM (
+    SELECT *, list(CAST(CASE WHEN rejected THEN 0 ELSE tokens END AS BIGINT)) OVER (PARTITION BY bucket, CAST(ts AS DATE) ORDER BY ts, request_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM lim)))"""
 
 
 @query("bucket_key", """

@@ -157,7 +157,8 @@ def last_n_runs(t):
 WITH items AS (SELECT conv_id AS payload_id, turn AS pos, '{"content": "' || text || '"}' AS piece FROM conversations),
 u AS (SELECT *, sum(length(piece)) OVER (PARTITION BY payload_id ORDER BY pos) <= 1500 AS fits FROM items),
 f AS (SELECT payload_id, count(*) FILTER (WHERE fits) AS kept_results, count(*) AS total_results FROM u GROUP BY ALL)
-SELECT payload_id, pos, piece, kept_results, total_results, kept_results < total_results AS truncated FROM u JOIN f USING (payload_id) WHERE fits""")
+SELECT f.payload_id, pos, piece, kept_results, total_results, kept_results < total_results AS truncated
+FROM f LEFT JOIN (SELECT * FROM u WHERE fits) k ON f.payload_id = k.payload_id""")
 def bounded_payload(t):
     piece = F.concat(F.lit('{"content": "'), "text", F.lit('"}'))
     items = t["conversations"].select(F.col("conv_id").alias("payload_id"), F.col("turn").alias("pos"), piece.alias("piece"))
@@ -277,11 +278,12 @@ def _dots(s: str, n: int) -> str:
 WITH d AS (SELECT doc_id, {strip_sql('text')} AS s FROM documents), i AS (SELECT doc_id, s, unnest([0, 1, 2, 3, 4]) AS pos FROM d),
 x AS (SELECT *, 'T' || CAST(pos AS VARCHAR) || ' ' || s AS title FROM i)
 SELECT doc_id, pos, {_dots('title', 200)} AS title, 'http://x/' || CAST(pos AS VARCHAR) AS url, {_dots('s', 800)} AS content, pos / 2.0::DOUBLE AS score,
-  CASE WHEN pos % 2 = 0 THEN 'd' ELSE 't' END || CAST(pos AS VARCHAR) AS published_date, {_dots('s', 1200)} AS answer FROM x""")
+  CASE WHEN pos % 2 = 0 THEN 'd' ELSE 't' END || CAST(pos AS VARCHAR) AS published_date, {_dots('s', 1200)} AS answer FROM x WHERE doc_id % 5 <> 0
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, NULL, {_dots('s', 1200)} FROM d WHERE doc_id % 5 = 0""")
 def shrink_results(t):
-    """Search payloads of seven results built from each document."""
+    """Search payloads of seven results built from each document; every fifth has an answer and no results."""
     item = F.transform(
-        F.sequence(F.lit(0), F.lit(6)),
+        F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.lit(6))),
         lambda i: F.struct(
             F.concat(F.lit("T"), i.cast("string"), F.lit(" "), F.col("text")).alias("title"),
             F.concat(F.lit("http://x/"), i.cast("string")).alias("url"), F.col("text").alias("content"), (i / 2).alias("score"),

@@ -48,8 +48,8 @@ def read_text_docs(spark: SparkSession, paths) -> DataFrame:
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, all cells as text, plus the 0-based row number ``row``."""
-    return with_row_number(spark.read.csv(path, header=True))
+    """CSV with a header, all cells as text (line breaks in quotes included), plus the 0-based row number ``row``."""
+    return with_row_number(spark.read.csv(path, header=True, multiLine=True, escape='"'))
 
 
 def with_row_number(df: DataFrame) -> DataFrame:

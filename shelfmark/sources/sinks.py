@@ -24,6 +24,10 @@ class BadMode(ValueError):
     """Unknown export mode."""
 
 
+#: Quotes inside a cell are doubled, so cells may hold quotes and line breaks.
+CSV = {"header": True, "escape": '"'}
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One JSON object per line; text is written as it is, not escaped."""
     df.write.mode(mode).json(path)
@@ -31,7 +35,7 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.option("header", True).csv(path)
+        return spark.read.csv(path, **CSV, multiLine=True)
     except AnalysisException:
         return None
 
@@ -51,15 +55,15 @@ def export_table(df: DataFrame, path: str, mode: str = "timestamp", *, keep_back
     spark, now = df.sparkSession, stamp()
     if mode == "timestamp":
         path = f"{path}_{now}"
-        df.write.option("header", True).csv(path)
+        df.write.options(**CSV).csv(path)
         return path
     there = _existing(spark, path)
     if there is not None:
         if mode == "append" and there.columns != df.columns:
             raise HeaderMismatch(f"table has {there.columns}, rows have {df.columns}")
         if keep_backup:
-            there.write.option("header", True).csv(f"{path}_backup_{now}")
-    df.write.mode(mode).option("header", True).csv(path)
+            there.write.options(**CSV).csv(f"{path}_backup_{now}")
+    df.write.mode(mode).options(**CSV).csv(path)
     return path
 
 

@@ -33,9 +33,14 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
 
 
 def ingest_batch(docs: DataFrame, batch: int, root: str) -> None:
-    """One micro-batch of ``docs(path, text)``: skip what is unchanged, cut, write, commit."""
+    """One micro-batch of ``docs(path, text)``: skip what is unchanged, cut, write, commit.
+
+    A path that comes twice counts once: its last version by ``seq`` if there is such a column, else by content.
+    """
     spark = docs.sparkSession
-    hashed = docs.select("path", F.md5("text").alias("hash"), "text")
+    order = [F.col("seq"), F.col("text")] if "seq" in docs.columns else [F.col("text")]
+    last = docs.groupBy("path").agg(F.max_by("text", F.struct(*order)).alias("text"))
+    hashed = last.select("path", F.md5("text").alias("hash"), "text")
     empty = spark.createDataFrame([], MANIFEST_SCHEMA)
     # Earlier batches only: an own half-written entry of a failed attempt must not count.
     log = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root}/manifest") if batch else empty

@@ -85,7 +85,7 @@ def admission(
         done = session.read.parquet(f"{root}/out/batch={no}")
         newest = done.agg(F.max("day")).scalar()
         new_counts = done.groupBy("bucket", "window_start").agg(F.max("n").alias("carried_n"))
-        charged = F.when(F.col("rejected"), 0).otherwise(F.col("tokens")).cast("bigint")
+        charged = F.when(F.col("reason").isNotNull(), 0).otherwise(F.col("tokens")).cast("bigint")
         used = done.groupBy("bucket", "day").agg(F.sum(charged).alias("carried_tokens"))
         if no:
             new_counts = upsert(counts, new_counts.withColumn("seq", F.lit(no)), ["bucket", "window_start"], "seq")
