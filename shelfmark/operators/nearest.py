@@ -1,14 +1,17 @@
 """Exact nearest neighbours and exact greedy near-duplicate removal over unit vectors.
 
-Vectors are grouped into cells around a bounded set of pivot vectors. Angles obey the
-triangle inequality, so whole cells that cannot hold an answer are skipped and the
-result is still exact. Inside a cell, work is cut into blocks of bounded size; a block
-pair is one small matrix product that returns at most ``k`` rows per query. Identical
-vectors are collapsed first, so a huge group of copies costs as much as one vector.
+Questions travel to the corpus in bounded blocks and are answered in a narrow pass. For
+deduplication, vectors are grouped into cells around a set of pivots that grows with their
+number; angles obey the triangle inequality, so cells that cannot hold a neighbour are
+skipped and the result is still exact. Identical vectors are collapsed first, so a huge
+group of copies costs as much as one vector.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,13 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.functions.session import materialize
-from shelfmark.functions.sizing import is_bounded
 from shelfmark.functions.windows import first_per_key
 
 BLOCK = 1024
-SMALL_CORPUS = 50_000
-MAX_PIVOTS = 256
-SLACK = 2e-6  # scores are ranked at six decimals
+#: Questions that travel to the tasks together.
+QUESTIONS = 2048
+#: Rows per cell aimed at, and the most pivots that travel with every task.
+PER_CELL, MAX_PIVOTS = 2048, 4096
 
 
 def _stack(vectors) -> np.ndarray:
@@ -35,7 +38,7 @@ def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def choose_pivots(vectors: DataFrame, vec: str, count: int) -> np.ndarray:
     """At most ``count`` vectors, picked by hash; small enough to travel with every task."""
-    count = min(count, MAX_PIVOTS * 16)
+    count = min(count, MAX_PIVOTS)
     rows = vectors.select(vec).orderBy(F.md5(F.array_join(F.transform(vec, lambda x: x.cast("string")), ","))).limit(count)
     return _stack([r[0] for r in rows.collect()])
 
@@ -64,120 +67,63 @@ def _block_counts(df: DataFrame, name: str) -> DataFrame:
     return df.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("bigint").alias(name))
 
 
-def _probe(queries: DataFrame, corpus: DataFrame, k: int, query_type: T.DataType) -> DataFrame:
-    """Best ``k`` corpus groups per query among rows of the same cell.
-
-    ``queries(qid, qvec, cell)``, ``corpus(did, dvec, cell)``. Both sides are split into
-    blocks, each side replicated over the other's blocks of that cell only. There are at
-    most as many cells as pivots, which bounds the broadcast of the block counts.
-    """
-    counts = _block_counts(queries, "q_blocks").join(_block_counts(corpus, "d_blocks"), "cell")
-    counts = F.broadcast(counts)
-    left = queries.join(counts, "cell").select(
-        "cell", "qid", "qvec",
-        F.pmod(F.xxhash64("qid"), F.col("q_blocks")).alias("qb"),
-        F.explode(_upto("d_blocks")).alias("db"),
-    )
-    right = corpus.join(counts, "cell").select(
-        "cell", "did", "dvec",
-        F.pmod(F.xxhash64("did"), F.col("d_blocks")).alias("db"),
-        F.explode(_upto("q_blocks")).alias("qb"),
-    )
-
-    def best(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or d.empty:
-            return pd.DataFrame({"qid": q["qid"][:0], "did": d["did"][:0], "score": np.zeros(0)})
-        d = d.sort_values("did", kind="stable", ignore_index=True)
-        scores = np.floor(_stack(q["qvec"]) @ _stack(d["dvec"]).T * 1e6 + 0.5) / 1e6
-        keep = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        width = keep.shape[1]
-        return pd.DataFrame(
-            {
-                "qid": np.repeat(q["qid"].to_numpy(), width),
-                "did": d["did"].to_numpy()[keep.ravel()],
-                "score": np.take_along_axis(scores, keep, axis=1).ravel(),
-            }
-        )
-
-    schema = T.StructType(
-        [T.StructField("qid", query_type), T.StructField("did", corpus.schema["did"].dataType), T.StructField("score", T.DoubleType())]
-    )
-    key = ["cell", "qb", "db"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(best, schema)
+def question_blocks(questions: DataFrame, key: str, block: int = QUESTIONS) -> Iterator[list]:
+    """The rows of ``questions`` on the driver, about ``block`` at a time, whatever their number."""
+    n = -(-questions.count() // block)
+    for i in range(n):
+        yield questions.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i).orderBy(key).collect()
 
 
-def _rank(scored: DataFrame, k: int) -> DataFrame:
-    best = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("did").asc())
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+def best_of_batch(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For ``scores`` (questions x rows, ``-inf`` for none): positions of the best ``k`` rows of each, ties by id."""
+    order = np.argsort(ids, kind="stable")
+    keep = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
+    asked = np.repeat(np.arange(len(scores)), keep.shape[1])
+    rows = keep.ravel()
+    real = np.isfinite(scores[asked, rows])
+    return asked[real], rows[real]
 
 
-def vector_topk(
-    queries: DataFrame, corpus: DataFrame, k: int = 10, *, exclude_self: bool = False, cells: int | None = None
-) -> DataFrame:
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, *, exclude_self: bool = False) -> DataFrame:
     """Exact best ``k`` corpus vectors per query by cosine, ties by id.
 
-    ``queries(query_id, vec)`` and ``corpus(chunk_id, vec)`` hold unit vectors. With
-    ``exclude_self`` a row is not its own neighbour. Returns ``query_id, chunk_id, score,
-    rank``. A small corpus is one cell; a large one is cut into cells and probed in two
-    rounds: the home cell gives an upper bound on the k-th angle, then only cells that
-    can still hold something inside that angle are visited.
+    ``queries(query_id, vec)`` and ``corpus(chunk_id, vec)`` hold unit vectors; rows without a vector take no part.
+    With ``exclude_self`` a row is not its own neighbour. Returns ``query_id, chunk_id, score, rank``. The questions
+    travel in blocks of about ``QUESTIONS``; for each block one narrow pass over the corpus multiplies batches of rows
+    and hands on at most ``k`` rows per question and batch, so the corpus is never shuffled.
     """
     need = k + 1 if exclude_self else k
-    corpus = corpus.select("chunk_id", "vec")
-    # One representative per distinct vector: the smallest id among its copies.
-    groups = materialize(
-        corpus.groupBy("vec").agg(F.min("chunk_id").alias("did"), F.count("*").alias("copies")), "vectors"
-    )
-    reps = groups.select("did", F.col("vec").alias("dvec"))
-    # Copies can only be asked for up to rank ``need``; single vectors need no row here.
-    per_copy = Window.partitionBy("did").orderBy("chunk_id")
-    copied = corpus.join(groups.filter(F.col("copies") > 1).select("vec", "did"), "vec").select("did", "chunk_id")
-    copies = copied.withColumn("_n", F.row_number().over(per_copy)).filter(F.col("_n") <= need).drop("_n")
-    asked = materialize(queries.select("query_id", "vec"), "query-vectors")
-    askers = asked.groupBy("vec").agg(F.min("query_id").alias("qid"))
-    query_map = asked.join(askers, "vec").select("query_id", "qid")
-    asks = askers.select("qid", F.col("vec").alias("qvec"))
-
-    if cells is None:
-        cells = 1 if is_bounded(reps.select("did"), SMALL_CORPUS) else MAX_PIVOTS
-    id_type = queries.schema["query_id"].dataType
-    pivots = choose_pivots(reps, "dvec", cells) if cells > 1 else np.zeros((1, 1))
-    if not len(pivots):
-        pivots = np.zeros((1, 1))
-    placed = _with_cells(reps, "dvec", pivots)
-    homed = _with_cells(asks, "qvec", pivots)
-    found = _probe(homed, placed, need, id_type)
-    if len(pivots) > 1:
-        found = materialize(_rank(found, need), "knn-home")
-        radius = dict(placed.groupBy("cell").agg(F.max("angle")).collect())  # at most one row per pivot
-        kth = found.groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
-        bounded = homed.join(kth, "qid", "left")
-        reach = np.array([radius.get(i, -np.inf) for i in range(len(pivots))])
-
-        @F.pandas_udf("array<int>")
-        def cells_to_visit(v: pd.Series, home: pd.Series, n: pd.Series, score: pd.Series) -> pd.Series:
-            if not len(v):
-                return pd.Series([], dtype=object)
-            angles = _angles(_stack(v), pivots)
-            full = n.fillna(0).to_numpy() >= need
-            theta = np.where(full, np.arccos(np.clip(score.fillna(-1).to_numpy() - SLACK, -1, 1)), np.pi) + SLACK
-            mine = angles[np.arange(len(v)), home.to_numpy()]
-            possible = (angles - reach <= theta[:, None]) & ((angles - mine[:, None]) / 2 <= theta[:, None])
-            possible &= np.isfinite(reach)
-            possible[np.arange(len(v)), home.to_numpy()] = False
-            return pd.Series([np.flatnonzero(row).astype(np.int32) for row in possible])
-
-        away = bounded.select("qid", "qvec", F.explode(cells_to_visit("qvec", "cell", "n", "kth")).alias("cell"))
-        found = found.select("qid", "did", "score").unionByName(_probe(away, placed, need, id_type))
-    best = _rank(found, need).drop("rank")
-    rows = best.join(query_map, "qid").join(copies, "did", "left").withColumn("chunk_id", F.coalesce("chunk_id", "did"))
+    asked = materialize(queries.select("query_id", "vec").filter(F.col("vec").isNotNull()), "query-vectors")
+    rows = corpus.select("chunk_id", "vec").filter(F.col("vec").isNotNull())
+    schema = T.StructType([
+        T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("chunk_id", corpus.schema["chunk_id"].dataType),
+        T.StructField("score", T.DoubleType()),
+    ])
+    found = []
+    for block in question_blocks(asked, "query_id"):
+        if not block:
+            continue
+        shipped = corpus.sparkSession.sparkContext.broadcast(([r["query_id"] for r in block], _stack([r["vec"] for r in block])))
+
+        def best(batches, shipped=shipped):
+            names, matrix = shipped.value
+            names = np.array(names, dtype=object)
+            for batch in batches:
+                for start in range(0, len(batch), BLOCK):
+                    part = batch.iloc[start : start + BLOCK]
+                    scores = np.floor(matrix @ _stack(part["vec"]).T * 1e6 + 0.5) / 1e6
+                    ids = part["chunk_id"].to_numpy()
+                    q, d = best_of_batch(ids, scores, need)
+                    yield pd.DataFrame({"query_id": names[q], "chunk_id": ids[d], "score": scores[q, d]})
+
+        found.append(rows.mapInPandas(best, schema))
+    if not found:
+        return corpus.sparkSession.createDataFrame([], T.StructType([*schema, T.StructField("rank", T.IntegerType())]))
+    hits = reduce(DataFrame.unionByName, found)
     if exclude_self:
-        rows = rows.filter(F.col("query_id") != F.col("chunk_id"))
+        hits = hits.filter(F.col("query_id") != F.col("chunk_id"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id").asc())
-    return (
-        rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        .select("query_id", "chunk_id", "score", "rank")
-    )
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def semantic_dedup(
@@ -193,7 +139,7 @@ def semantic_dedup(
     theta = float(np.arccos(threshold)) + 1e-7
     first = first_per_key(records.select("ord", "vec"), ["vec"], [F.col("ord")])
     if cells is None:
-        cells = 1 if is_bounded(records.select("ord"), SMALL_CORPUS) else MAX_PIVOTS * 16
+        cells = min(MAX_PIVOTS, 1 + first.count() // PER_CELL)
     pivots = choose_pivots(first, "vec", cells) if cells > 1 else np.zeros((1, 1))
     if not len(pivots):
         pivots = np.zeros((1, 1))

@@ -24,16 +24,17 @@ def brute(queries, corpus, k, exclude_self):
     return out
 
 
-@pytest.mark.parametrize("cells", [1, 6])
+@pytest.mark.parametrize("questions", [7, 2048])
 @pytest.mark.parametrize("exclude_self", [False, True])
-def test_topk_is_exact(spark, monkeypatch, cells, exclude_self):
+def test_topk_is_exact(spark, monkeypatch, questions, exclude_self):
     monkeypatch.setattr(nearest, "BLOCK", 16)
+    monkeypatch.setattr(nearest.question_blocks, "__defaults__", (questions,))
     rng = np.random.default_rng(3)
     v = clustered(rng, 90)
     v[40:70] = v[7]  # a third of the rows are copies of one vector
     rows = [(i, [float(x) for x in row]) for i, row in enumerate(v)]
     corpus = spark.createDataFrame(rows, "chunk_id long, vec array<double>")
-    got = vector_topk(corpus.withColumnRenamed("chunk_id", "query_id"), corpus, k=4, exclude_self=exclude_self, cells=cells)
+    got = vector_topk(corpus.withColumnRenamed("chunk_id", "query_id"), corpus, k=4, exclude_self=exclude_self)
     assert {(r.query_id, r.chunk_id, r.rank) for r in got.collect()} == brute(v, v, 4, exclude_self)
 
 
