@@ -131,3 +131,38 @@ def op4_kneser_ney_quality(table) -> DataFrame:
 def op7_backoff_automaton_scores(table) -> DataFrame:
     """log10 probability of every document under a model learnt from nine tenths of them."""
     return scoring.log_probabilities(table("documents"))
+
+
+ORACLES["op5_suffix_automata_repeats"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, unnest(k) AS key, generate_subscripts(k, 1) AS i
+  FROM (SELECT doc_id, list_transform(range(1, greatest(1, len(w) - 11)), lambda i: md5(array_to_string(w[i:i + 12], ' '))) AS k FROM d)),
+firsts AS (SELECT key, min(doc_id) AS first FROM windows GROUP BY key),
+gone AS (
+  SELECT DISTINCT doc_id, i + o AS pos FROM windows JOIN firsts USING (key), (SELECT unnest(range(13)) AS o) WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS body FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES["op9_superminhash_near_duplicates"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, greatest(1, len(w))), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM d),
+sizes AS (SELECT doc_id, len(g) AS n FROM sets),
+shingles AS (SELECT doc_id, unnest(g) AS g FROM sets),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS id, a AS other FROM sides UNION SELECT r.id, e.b FROM reach r JOIN sides e ON r.other = e.a),
+groups AS (SELECT id, min(other) AS low FROM reach GROUP BY id)
+SELECT doc_id, n AS n_shingles, coalesce(low, doc_id) AS component_id, coalesce(low, doc_id) = doc_id AS kept
+FROM sizes LEFT JOIN groups ON id = doc_id
+"""
