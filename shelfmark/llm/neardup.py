@@ -8,8 +8,9 @@
 * Texts that share a band meet in a bucket. Every member is first checked against the smallest id of its bucket
   only. After grouping, the members of buckets that still hold several groups are checked against one pivot drawn
   from their bucket, ``PIVOTS`` times over: a text meets other pivots in each of its buckets, so groups with a link
-  between them soon fall together. Then the pairs *across* the groups left in a bucket are checked. So no link
-  between groups is missed and no bucket is expanded into all its pairs.
+  between them soon fall together. Then the pairs *across* the groups left in a bucket are checked, but for those
+  that the shingles found in one text only rule out. So no link between groups is missed and no bucket is expanded
+  into all its pairs.
 * A link counts only if the full shingle sets (64-bit shingle hashes) reach the similarity.
 
 With ``bands=72, rows=8`` a pair of similarity 0.8 shares no band with probability 1.8e-6, a pair of 0.3 shares
@@ -146,6 +147,18 @@ def _confirm(k: int, share: int):
     return run
 
 
+def _shingle_rows(k: int):
+    """The distinct shingles of each text, one row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textkit.pieces(batches, "text"):
+            elements, first = textkit.shingle_sets(textkit.words(batch.column("text"), lower=True), k)
+            owner = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(first)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(owner), pa.array(elements.view(np.int64))], ["doc_id", "g"])
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame, k: int = 5, share: int = 80, bands: int = 72, rows: int = 8, text: str = "text"
 ) -> DataFrame:
@@ -199,7 +212,15 @@ def near_duplicates(
             pivot = a.groupBy("bucket").agg(F.min_by(F.struct("a", "n_a", "label_a"), drawn).alias("p")).select("bucket", "p.*")
             across = pivot.join(b, "bucket").filter("label_a <> label_b")
         else:
-            across = a.join(b, "bucket").filter("a < b and label_a <> label_b")
+            # shingles that no other text left has can be in no intersection: an exact bound for every pair
+            left = texts.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+            once = left.mapInArrow(_shingle_rows(k), "doc_id long, g long").groupBy("g").agg(F.min("doc_id").alias("of"), F.max("doc_id").alias("last"))
+            alone = materialize(once.filter("of = last").groupBy("of").agg(F.count("*").alias("alone")), "own-shingles")
+            a, b = (
+                x.join(alone.withColumnsRenamed({"of": s, "alone": f"alone_{s}"}), s, "left").fillna(0, [f"alone_{s}"]) for x, s in ((a, "a"), (b, "b"))
+            )
+            enough = f"{100 + share} * least(n_a - alone_a, n_b - alone_b) >= {share} * (n_a + n_b)"
+            across = a.join(b, "bucket").filter(f"a < b and label_a <> label_b and {enough}")
         pairs = untried(across, tried)
         found = materialize(confirmed(pairs), "links")
         tried = tried.unionByName(pairs)
