@@ -129,15 +129,16 @@ def log_probabilities(docs: DataFrame, text: str = "text", cutoff: int = CUTOFF)
         .select("w", base(F.col("c")).alias("base"), F.log10("p").alias("log_p"), F.coalesce(F.log10("back"), F.lit(0.0)).alias("log_back")), "lexicon",
     )
 
-    numbered = texts.withColumn("row", F.monotonically_increasing_id())
+    # equal rows share a key; every row has one end, so the ends tell by how many rows the sums are shared
+    numbered = texts.withColumn("row", F.xxhash64("doc_id", "text"))
     sent = numbered.select("row", "text")
     new_word = [F.coalesce(c, d).alias(a) for c, d, a in (
         (F.col("base"), base(F.lit(0)), "base"), (F.col("log_p") + F.col("log_back"), F.log10(F.lit(unknown)), "step"))]
     by_word = sent.mapInArrow(_words_of_rows, "row long, w long, n int").join(lexicon, "w", "left").select(
-        "row", "n", F.col("base").isNotNull().alias("known"), *new_word
+        "row", "n", (F.col("w") == END).alias("is_end"), F.col("base").isNotNull().alias("known"), *new_word
     )
     word_sums = materialize(by_word.groupBy("row").agg(
-        F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("n_known"),
+        F.sum(F.when(F.col("is_end"), F.col("n"))).alias("rows"), F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("n_known"),
         F.sum(F.col("n") * F.col("base")).alias("base_score"), F.sum(F.col("n") * F.col("step")).alias("steps"),
     ), "word-sums")
     by_pair = sent.mapInArrow(_pairs_of_rows, "row long, v long, w long, n int").select("row", "n", F.xxhash64("v", "w").alias("pair"))
@@ -147,8 +148,9 @@ def log_probabilities(docs: DataFrame, text: str = "text", cutoff: int = CUTOFF)
         met = by_pair.filter(mine).join(arcs.filter(mine).hint("shuffle_hash"), "pair")
         gains.append(materialize(met.groupBy("row").agg(F.sum(F.col("n") * F.col("gain")).alias("gain")), "pair-sums"))
     pair_sums = reduce(DataFrame.unionByName, gains).groupBy("row").agg(F.sum("gain").alias("gain"))
-    score = F.col("steps") + F.lit(entry) + F.coalesce("gain", F.lit(0.0)) if n else F.col("base_score")
+    base_score = F.col("base_score") / F.col("rows")
+    score = (F.col("steps") + F.coalesce("gain", F.lit(0.0))) / F.col("rows") + F.lit(entry) if n else base_score
     return numbered.select("row", "doc_id", "held_out").join(word_sums, "row").join(pair_sums, "row", "left").select(
-        "doc_id", "held_out", F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_known").cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), "base_score", score.alias("score"),
+        "doc_id", "held_out", F.expr("n_tokens div rows").alias("n_tokens"), F.expr("n_known div rows").alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"), base_score.alias("base_score"), score.alias("score"),
     )

