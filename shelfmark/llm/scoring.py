@@ -1,7 +1,7 @@
 """Language-model scoring with a weighted backoff automaton.
 
 States are the words of the training documents and the empty context. From a state ``v`` an arc reads each word that
-follows ``v`` at least ``CUTOFF`` times, at the discounted probability interpolated with that of the empty context; for all other
+follows ``v`` at least ``cutoff`` times, at the discounted probability interpolated with that of the empty context; for all other
 words a failure arc leads to the empty context at weight ``back(v)``, where every known word has an arc and one more
 stands for all unknown words. A traversal from the start state to the end token adds up the log10 weights; the
 arcs out of every state sum to one.
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from shelfmark.functions.session import discard, materialize
 from shelfmark.llm import textkit
 
-#: Pairs of words seen less often in the training documents have no arc of their own.
+#: Pairs of words seen less often in the training documents have no arc of their own; 1 keeps every pair.
 CUTOFF = 2
-#: The pairs of the documents go to their shards in so many turns, each a part of the shards, to halve the shuffle on disk.
-TURNS = 2
+#: Pairs are counted and sent to their shards in so many turns, each a part of the shards, to bound the shuffle on disk.
+TURNS = 3
 #: States that are no words.
 START, END = (int(x) for x in textkit.mix(np.array([1, 2], np.uint64), 99).view(np.int64))
 
@@ -68,11 +68,20 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(["w", "n"], words, n)
 
 
-def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in textkit.pieces(batches, "text", 4 * textkit.PIECE):
-        v, w, _ = _steps(batch.column("text"))
-        at, n = _distinct(v, w)
-        yield _rows(["v", "w", "n"], v[at], w[at], n)
+def _of_turn(turn: int, *steps: np.ndarray) -> list[np.ndarray]:
+    """The steps ``v, w, ...`` whose pair has this turn."""
+    mine = ((steps[0] ^ steps[1]) & 0xFFFF) % TURNS == turn
+    return [x[mine] for x in steps]
+
+
+def _pair_counts(turn: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textkit.pieces(batches, "text", 4 * textkit.PIECE):
+            v, w, _ = _of_turn(turn, *_steps(batch.column("text")))
+            at, n = _distinct(v, w)
+            yield _rows(["v", "w", "n"], v[at], w[at], n)
+
+    return run
 
 
 def _words_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,11 +91,14 @@ def _words_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _rows(["row", "w", "n"], np.asarray(batch.column("row"))[owner[at]], w[at], n.astype(np.int32))
 
 
-def _pairs_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in textkit.pieces(batches, "text"):
-        v, w, owner = _steps(batch.column("text"))
-        at, n = _distinct(v, w, owner)
-        yield _rows(["row", "v", "w", "n"], np.asarray(batch.column("row"))[owner[at]], v[at], w[at], n.astype(np.int32))
+def _pairs_of_rows(turn: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textkit.pieces(batches, "text"):
+            v, w, owner = _of_turn(turn, *_steps(batch.column("text")))
+            at, n = _distinct(v, w, owner)
+            yield _rows(["row", "v", "w", "n"], np.asarray(batch.column("row"))[owner[at]], v[at], w[at], n.astype(np.int32))
+
+    return run
 
 
 def log_probabilities(docs: DataFrame, text: str = "text", cutoff: int = CUTOFF) -> DataFrame:
@@ -110,18 +122,18 @@ def log_probabilities(docs: DataFrame, text: str = "text", cutoff: int = CUTOFF)
     unknown = discount * v / n if n else 1.0
     single = words.select("w", "c", ((F.col("c") - F.lit(discount)) / F.lit(float(max(n, 1)))).alias("p"))
 
-    counted = learnt.mapInArrow(_pair_counts, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("c2")).filter(F.col("c2") >= cutoff)
-    pairs = materialize(counted, "pairs")
+    parts = [
+        materialize(learnt.mapInArrow(_pair_counts(turn), "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("c2")).filter(F.col("c2") >= cutoff), "pairs")
+        for turn in range(TURNS)
+    ]
+    pairs = reduce(DataFrame.unionByName, parts)
     spread = pairs.agg(F.count_if(F.col("c2") == cutoff), F.count_if(F.col("c2") == cutoff + 1)).first()
     cut = spread[0] / (spread[0] + 2 * spread[1]) if spread[0] else 0.5
     # every step leaves its state once: the start as often as there are texts, a word as often as it occurs
     leaving = words.select(F.when(F.col("w") == END, F.lit(START)).otherwise(F.col("w")).alias("v"), F.col("c").alias("total"))
     out = pairs.groupBy("v").agg(F.sum(F.col("c2") - F.lit(cut)).alias("held"))
     states = materialize(out.join(leaving, "v").select("v", "total", (1 - F.col("held") / F.col("total")).alias("back")), "states")
-    arcs = pairs.join(states, "v").join(single.select("w", "p"), "w")
     difference = F.log10((F.col("c2") - F.lit(cut)) / F.col("total") / (F.col("back") * F.col("p")) + 1)
-    arcs = materialize(arcs.select(F.xxhash64("v", "w").alias("pair"), difference.alias("gain")), "arcs")
-    discard(pairs)
     at_start = states.filter(F.col("v") == START).select(F.log10("back").alias("b")).first()
     entry = at_start["b"] if at_start else 0.0
     lexicon = materialize(
@@ -134,19 +146,23 @@ def log_probabilities(docs: DataFrame, text: str = "text", cutoff: int = CUTOFF)
     sent = numbered.select("row", "text")
     new_word = [F.coalesce(c, d).alias(a) for c, d, a in (
         (F.col("base"), base(F.lit(0)), "base"), (F.col("log_p") + F.col("log_back"), F.log10(F.lit(unknown)), "step"))]
-    by_word = sent.mapInArrow(_words_of_rows, "row long, w long, n int").join(lexicon, "w", "left").select(
+    pair = F.xxhash64("v", "w").alias("pair")
+    gains = []
+    for turn, part in enumerate(parts):
+        arcs = materialize(part.join(states, "v").join(single.select("w", "p"), "w").select(pair, difference.alias("gain")), "arcs")
+        discard(part)
+        by_pair = sent.mapInArrow(_pairs_of_rows(turn), "row long, v long, w long, n int").select("row", "n", pair)
+        met = by_pair.join(arcs.hint("shuffle_hash"), "pair")
+        gains.append(materialize(met.groupBy("row").agg(F.sum(F.col("n") * F.col("gain")).alias("gain")), "pair-sums"))
+        discard(arcs)
+    # the words go last, when the pairs are gone from disk
+    by_word = sent.mapInArrow(_words_of_rows, "row long, w long, n int").join(lexicon.hint("shuffle_hash"), "w", "left").select(
         "row", "n", (F.col("w") == END).alias("is_end"), F.col("base").isNotNull().alias("known"), *new_word
     )
     word_sums = materialize(by_word.groupBy("row").agg(
         F.sum(F.when(F.col("is_end"), F.col("n"))).alias("rows"), F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("n_known"),
         F.sum(F.col("n") * F.col("base")).alias("base_score"), F.sum(F.col("n") * F.col("step")).alias("steps"),
     ), "word-sums")
-    by_pair = sent.mapInArrow(_pairs_of_rows, "row long, v long, w long, n int").select("row", "n", F.xxhash64("v", "w").alias("pair"))
-    gains = []
-    for turn in range(TURNS):
-        mine = F.pmod("pair", F.lit(TURNS)) == turn
-        met = by_pair.filter(mine).join(arcs.filter(mine).hint("shuffle_hash"), "pair")
-        gains.append(materialize(met.groupBy("row").agg(F.sum(F.col("n") * F.col("gain")).alias("gain")), "pair-sums"))
     pair_sums = reduce(DataFrame.unionByName, gains).groupBy("row").agg(F.sum("gain").alias("gain"))
     base_score = F.col("base_score") / F.col("rows")
     score = (F.col("steps") + F.coalesce("gain", F.lit(0.0))) / F.col("rows") + F.lit(entry) if n else base_score
