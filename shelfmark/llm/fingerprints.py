@@ -11,9 +11,6 @@ taken in the task that reads it, and one short row per text goes on.
 
 from __future__ import annotations
 
-import json
-
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,37 +37,26 @@ def _runs(name: str) -> Column:
     return F.arrays_zip(F.array_distinct(name).alias("h"), starts.alias("from"), F.concat(F.slice(starts, 2, F.greatest(F.size(name), F.lit(1))), F.array(F.size(name))).alias("to"))
 
 
-def _gamma_quantiles(n: int) -> np.ndarray:
-    """Gamma(2, 1) at the middles of ``n`` equal shares of probability, by Newton steps on 1 - (1 + x) exp(-x)."""
-    q = (np.arange(n) + 0.5) / n
-    x = np.sqrt(2 * q) + q
-    for _ in range(60):
-        x = np.maximum(x - (1 - (1 + x) * np.exp(-x) - q) / (x * np.exp(-x)), x / 4)
-    return x
-
-
-def _entry(table: np.ndarray, index: Column) -> Column:
-    """Look a row's draw up in a literal table."""
-    return F.get(F.from_json(F.lit(json.dumps(table.tolist())), "array<double>"), index.cast("int"))
+def _unit(x: Column, shift: int, bits: int) -> Column:
+    """``bits`` bits of a long as a number inside (0, 1)."""
+    return (F.shiftrightunsigned(x, shift).bitwiseAND((1 << bits) - 1) + F.lit(0.5)) / F.lit(float(1 << bits))
 
 
 def samples(bags: DataFrame, keys: list[str], n: int) -> DataFrame:
     """``keys, samples``: for each text the array of its ``n`` samples, from its words in array column ``words``.
 
-    One 64-bit hash gives a term its draws for a sample: 8 and 11 bits choose among as many quantiles of the gamma
-    distribution for ``r`` and ``c``, 40 bits are ``b``. Each sample is ``value << 31 | id``: the smallest wins, and the low 31 bits
+    Two 64-bit hashes give a term its draws for a sample: twice 21 bits for ``r`` and 22 for ``b``, twice 31 for ``c``. Each sample is ``value << 31 | id``: the smallest wins, and the low 31 bits
     tell which term and ``t`` it was.
     """
-    of_r, of_c = _gamma_quantiles(256).round(5), np.log(_gamma_quantiles(2048)).round(5)
     rows = bags.select(*keys, F.sort_array("words").alias("words")).select(*keys, F.explode_outer(_runs("words")).alias("run"))
     rows = rows.select(*keys, F.col("run.h").alias("h"), F.log((F.col("run.to") - F.col("run.from")).cast("double")).alias("lw"))
     rows = rows.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n // GROUP - 1))))
     each = range(GROUP)
-    rows = rows.select(*keys, "g", "h", "lw", *[F.xxhash64("h", F.col("g") * GROUP + i).alias(f"x{i}") for i in each])
+    rows = rows.select(*keys, "g", "h", "lw", *[F.xxhash64("h", F.col("g") * (2 * GROUP) + i).alias(f"x{i}") for i in range(2 * GROUP)])
     rows = rows.select(*keys, "g", "h", "lw", *[c for i in each for c in (
-        _entry(of_r, F.shiftrightunsigned(f"x{i}", 56)).alias(f"r{i}"),
-        _entry(of_c, F.shiftrightunsigned(f"x{i}", 40).bitwiseAND(2047)).alias(f"c{i}"),
-        (F.col(f"x{i}").bitwiseAND((1 << 40) - 1) / F.lit(float(1 << 40))).alias(f"b{i}"),
+        (-F.log(_unit(F.col(f"x{2 * i}"), 43, 21) * _unit(F.col(f"x{2 * i}"), 22, 21))).alias(f"r{i}"),
+        _unit(F.col(f"x{2 * i}"), 0, 22).alias(f"b{i}"),
+        F.log(-F.log(_unit(F.col(f"x{2 * i + 1}"), 32, 31) * _unit(F.col(f"x{2 * i + 1}"), 0, 31))).alias(f"c{i}"),
     )])
     rows = rows.select(*keys, "g", "h", *[c for i in each for c in (
         F.floor(F.col("lw") / F.col(f"r{i}") + F.col(f"b{i}")).alias(f"t{i}"), f"r{i}", f"b{i}", f"c{i}"
@@ -92,7 +78,7 @@ def likeness(a: Column, b: Column, n: int) -> Column:
     return F.size(F.filter(starts, lambda i: F.substring(a, i, F.lit(4)) == F.substring(b, i, F.lit(4)))) / F.lit(float(n))
 
 
-def fingerprints(docs: DataFrame, n: int = 24, text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, n: int = 32, text: str = "text") -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` for every row.
 
     The edited text has its last ``floor(n_chars / 4)`` code points replaced by the first as many of the next
