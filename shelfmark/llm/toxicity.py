@@ -112,7 +112,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def _word_grams(word: bytes) -> set[bytes]:
-    padded = b" " + word[:24] + b" "
+    padded = b" " + word + b" "
     return {padded[i : i + n] for n in GRAMS for i in range(len(padded) - n + 1)}
 
 
