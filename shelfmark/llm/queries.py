@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.functions.session import prepare
-from shelfmark.llm import decontam, fingerprints, kneser, mixing, neardup, scoring, sharding, substrings, tokens, toxicity
+from shelfmark.llm import decontam, fingerprints, kneser, mixing, neardup, scoring, sharding, simhash, spelling, structure, substrings, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,3 +166,130 @@ groups AS (SELECT id, min(other) AS low FROM reach GROUP BY id)
 SELECT doc_id, n AS n_shingles, coalesce(low, doc_id) AS component_id, coalesce(low, doc_id) = doc_id AS kept
 FROM sizes LEFT JOIN groups ON id = doc_id
 """
+
+
+@query
+def op11_run_length_structure_repair(table) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after planted damage."""
+    conversations = table("conversations")
+    return structure.repair_report(conversations, structure.damaged(conversations))
+
+
+@query
+def op12_bit_sliced_simhash(table) -> DataFrame:
+    """Groups of documents whose fingerprints differ in at most four bits."""
+    return simhash.near_duplicates(table("documents"), k=4, radius=4)
+
+
+@query
+def op13_sorted_list_spelling_variants(table) -> DataFrame:
+    """Words of all documents, the commoner word one edit away from each, and where that leads."""
+    return spelling.variants(spelling.word_counts(table("documents"), every=199))
+
+
+_CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i))"""
+
+
+def _crc(text: str) -> str:
+    return (
+        f"xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)), "
+        "lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295)"
+    )
+
+
+def _way(state: str, cost: str, letter: str, row: str) -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'r': {state}.r || {row}}}"
+
+
+def _least(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+_USER, _ASSISTANT, _KEPT, _NONE = "chr(10) || 'user:'", "chr(10) || 'assistant:'", "chr(10) || role || ':' || text", "''"
+_FAR = "1000000000"
+_REROLE = f"CASE WHEN keepable THEN 2 + cut ELSE {_FAR} END"
+
+
+def _kept_as(initial: str) -> str:
+    return f"CASE WHEN keepable AND x = '{initial}' THEN cut ELSE {_FAR} END"
+
+
+ORACLES["op11_run_length_structure_repair"] = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS d
+  FROM conversations, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM raw WHERE d <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+marked AS (
+  SELECT *, left(role, 1) AS x, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS x_before,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault
+  FROM placed),
+faults AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (i > 1 AND x_before || x NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM marked GROUP BY conv_id),
+walk AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'r': ''}} AS s0, {{'c': {_FAR}::BIGINT, 'a': '', 'r': ''}} AS s1,
+         {{'c': {_FAR}::BIGINT, 'a': '', 'r': ''}} AS s2, {{'c': {_FAR}::BIGINT, 'a': '', 'r': ''}} AS s3
+  FROM marked
+  UNION ALL
+  SELECT conv_id, i + 1,
+         {_way('w0', '3', 'D', _NONE)} AS s0,
+         {_least(_way('w1', '3', 'D', _NONE), _way('w0', _kept_as('s'), 'K', _KEPT))} AS s1,
+         {_least(_way('w2', '3', 'D', _NONE), *[_way(w, _kept_as('u'), 'K', _KEPT) for w in ('w0', 'w1', 'w3')],
+                 *[_way(w, _REROLE, 'R', f'{_USER} || text') for w in ('w0', 'w1', 'w3')])} AS s2,
+         {_least(_way('w3', '3', 'D', _NONE), _way('w2', _kept_as('a'), 'K', _KEPT), _way('w2', _REROLE, 'R', f'{_ASSISTANT} || text'))} AS s3
+  FROM (
+    SELECT w.conv_id, w.i, m.x, m.role, m.text, m.fault NOT IN ('blank', 'duplicate') AS keepable, CASE WHEN m.fault = 'truncated' THEN 1 ELSE 0 END AS cut,
+           s0 AS w0, s1 AS w1,
+           {_least('s2', _way('s0', '2', 'I', _USER), _way('s1', '2', 'I', _USER), _way('s3', '2', 'I', _USER))} AS w2,
+           {_least('s3', _way('s2', '2', 'I', _ASSISTANT), _way('s0', '4', 'II', f'{_USER} || {_ASSISTANT}'), _way('s1', '4', 'II', f'{_USER} || {_ASSISTANT}'))} AS w3
+    FROM walk w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i + 1)),
+ended AS (
+  SELECT w.conv_id, {_least('s0', 's3', _way('s2', '2', 'I', _ASSISTANT), _way('s1', '4', 'II', f'{_USER} || {_ASSISTANT}'))} AS best
+  FROM walk w JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.i)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(substr(coalesce(best.r, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+ORACLES["op13_sorted_list_spelling_variants"] = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run
+  FROM documents),
+hashed AS (
+  SELECT run, times, {_crc("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h
+  FROM (SELECT doc_id, run, count(*) AS times FROM runs WHERE length(run) >= 6 GROUP BY ALL), crc_table),
+v AS (
+  SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(times)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(times) >= 5),
+cuts AS (
+  SELECT word, n, i, left(word, i::INT) || substr(word, i::INT + 2) AS less FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+near AS (
+  SELECT a.word AS word, b.word AS other, b.n AS m FROM cuts a JOIN cuts b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN v b ON a.less = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN v b ON a.less = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, list_sort(list({{'x': -m, 'other': other}}))[1] AS best FROM near GROUP BY word),
+formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.x >= 5 * n THEN best.other END AS form, CASE WHEN -best.x >= 5 * n THEN -best.x END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+ways AS (
+  SELECT word, word AS root, 0 AS far FROM formed
+  UNION ALL SELECT w.word, f.form, far + 1 FROM ways w JOIN formed f ON f.word = w.root WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, max_by(root, far) AS root FROM ways GROUP BY word) USING (word)
+"""
