@@ -300,19 +300,22 @@ SEARCH_JSON = (
 def shrink_results(payloads: DataFrame, json_col: str, max_items: int = 5, max_chars: int = 800) -> DataFrame:
     """Leading search results of each payload with their texts cut: one row per result.
 
-    A payload without results keeps one row for its answer, with ``pos`` NULL.
+    A payload whose list of results is empty keeps one row for its answer, with ``pos`` NULL. One without such a list
+    keeps one row with its own text, cut, in ``raw``, which is NULL otherwise.
     """
     from shelfmark.functions.text import trim_three_dots
 
     rest = [c for c in payloads.columns if c != json_col]
     parsed = payloads.withColumn("_p", F.from_json(json_col, SEARCH_JSON))
+    listed = F.col("_p.results").isNotNull()
     rows = parsed.select(
-        *rest, trim_three_dots(F.col("_p.answer"), 1200).alias("answer"),
+        *rest, F.when(listed, trim_three_dots(F.col("_p.answer"), 1200)).alias("answer"),
+        F.when(~F.coalesce(listed, F.lit(False)), trim_three_dots(F.col(json_col), 3000)).alias("raw"),
         F.posexplode_outer(F.slice("_p.results", 1, max_items)).alias("pos", "r"),
     )
     return rows.select(
         *rest, "pos", F.when(F.col("pos").isNotNull(), trim_three_dots(F.col("r.title"), 200)).alias("title"),
         F.when(F.col("pos").isNotNull(), F.coalesce("r.url", F.lit(""))).alias("url"),
         F.when(F.col("pos").isNotNull(), trim_three_dots(F.col("r.content"), max_chars)).alias("content"), F.col("r.score").alias("score"),
-        F.coalesce(F.nullif("r.published_date", F.lit("")), F.col("r.published_time")).alias("published_date"), "answer",
+        F.coalesce(F.nullif("r.published_date", F.lit("")), F.col("r.published_time")).alias("published_date"), "answer", "raw",
     )

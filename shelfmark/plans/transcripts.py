@@ -277,13 +277,14 @@ def _dots(s: str, n: int) -> str:
 @query("shrink_results", f"""
 WITH d AS (SELECT doc_id, {strip_sql('text')} AS s FROM documents), i AS (SELECT doc_id, s, unnest([0, 1, 2, 3, 4]) AS pos FROM d),
 x AS (SELECT *, 'T' || CAST(pos AS VARCHAR) || ' ' || s AS title FROM i)
-SELECT doc_id, pos, {_dots('title', 200)} AS title, 'http://x/' || CAST(pos AS VARCHAR) AS url, {_dots('s', 800)} AS content, pos / 2.0::DOUBLE AS score,
-  CASE WHEN pos % 2 = 0 THEN 'd' ELSE 't' END || CAST(pos AS VARCHAR) AS published_date, {_dots('s', 1200)} AS answer FROM x WHERE doc_id % 5 <> 0
-UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, NULL, {_dots('s', 1200)} FROM d WHERE doc_id % 5 = 0""")
+SELECT doc_id, 'found' AS kind, pos, {_dots('title', 200)} AS title, 'http://x/' || CAST(pos AS VARCHAR) AS url, {_dots('s', 800)} AS content, pos / 2.0::DOUBLE AS score,
+  CASE WHEN pos % 2 = 0 THEN 'd' ELSE 't' END || CAST(pos AS VARCHAR) AS published_date, {_dots('s', 1200)} AS answer, NULL AS raw FROM x
+UNION ALL SELECT doc_id, 'empty', NULL, NULL, NULL, NULL, NULL, NULL, {_dots('s', 1200)}, NULL FROM d
+UNION ALL SELECT doc_id, 'text', NULL, NULL, NULL, NULL, NULL, NULL, NULL, {_dots('s', 3000)} FROM d""")
 def shrink_results(t):
-    """Search payloads of seven results built from each document; every fifth has an answer and no results."""
+    """Search payloads built from every document: seven results, an answer without results, and a text that is no payload."""
     item = F.transform(
-        F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.lit(6))),
+        F.sequence(F.lit(0), F.lit(6)),
         lambda i: F.struct(
             F.concat(F.lit("T"), i.cast("string"), F.lit(" "), F.col("text")).alias("title"),
             F.concat(F.lit("http://x/"), i.cast("string")).alias("url"), F.col("text").alias("content"), (i / 2).alias("score"),
@@ -291,8 +292,11 @@ def shrink_results(t):
             F.concat(F.lit("t"), i.cast("string")).alias("published_time"),
         ),
     )
-    payload = F.to_json(F.struct(item.alias("results"), F.col("text").alias("answer")))
-    return tr.shrink_results(t["documents"].select("doc_id", payload.alias("json")), "json")
+    none = F.filter(item, lambda _: F.lit(False))
+    payloads = [(F.lit("found"), F.to_json(F.struct(item.alias("results"), F.col("text").alias("answer")))),
+                (F.lit("empty"), F.to_json(F.struct(none.alias("results"), F.col("text").alias("answer")))), (F.lit("text"), F.col("text"))]
+    kinds = F.explode(F.array(*[F.struct(kind.alias("kind"), json.alias("json")) for kind, json in payloads]))
+    return tr.shrink_results(t["documents"].select("doc_id", kinds.alias("p")).select("doc_id", "p.*"), "json")
 
 
 @query("export_modes", """

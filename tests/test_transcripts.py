@@ -122,6 +122,19 @@ def test_cleanup_by_last_or_by_any_touch(spark):
 
 def test_search_payload(spark):
     raw = json.dumps({"results": [{"title": " t ", "content": "c" * 900, "published_time": "2024"}] * 7, "answer": "a"})
-    df = spark.createDataFrame([(1, raw), (2, "broken")], "id int, j string")
-    rows = tr.shrink_results(df, "j").collect()
+    rows = tr.shrink_results(spark.createDataFrame([(1, raw)], "id int, j string"), "j").collect()
     assert len(rows) == 5 and rows[0].title == "t" and len(rows[0].content) == 800 and rows[0].published_date == "2024"
+    assert rows[0].raw is None and rows[0].answer == "a"
+
+
+def test_search_payload_without_results_keeps_its_answer(spark):
+    df = spark.createDataFrame([(1, '{"results": [], "answer": " none "}'), (2, '{"results": []}')], "id int, j string")
+    rows = sorted(tr.shrink_results(df, "j").collect())
+    assert [(r.id, r.pos, r.title, r.answer, r.raw) for r in rows] == [(1, None, None, "none", None), (2, None, None, "", None)]
+
+
+def test_text_that_is_no_payload_is_kept_cut(spark):
+    df = spark.createDataFrame([(1, "broken"), (2, '{"answer": "x"}'), (3, "y" * 4000), (4, None)], "id int, j string")
+    rows = sorted(tr.shrink_results(df, "j").collect(), key=lambda r: r.id)
+    assert [r.raw for r in rows] == ["broken", '{"answer": "x"}', "y" * 2997 + "...", ""]
+    assert {(r.pos, r.answer) for r in rows} == {(None, None)}
