@@ -86,7 +86,8 @@ def near_in_lists(rest: list[str], first: np.ndarray, asking: np.ndarray) -> tup
     differs = chars[1:] != chars[:-1]
     common = np.concatenate([[0], np.where(differs.any(axis=1), differs.argmax(axis=1), width)])
     common[first] = -1
-    found_q, found_row = [], []
+    none = np.zeros(0, np.int64)
+    found_q, found_row = [none], [none]
     for begin in range(0, len(asking), TOGETHER):
         q = asking[begin : begin + TOGETHER]
         starts = first

@@ -77,6 +77,7 @@ def test_sorted_lists_find_each_pair_of_one_edit():
         rest = [w for words in lists for w in words]
         first = np.cumsum([0, *map(len, lists)])[:-1]
         q, row = spelling.near_in_lists(rest, first, np.arange(len(rest)))
+        assert len(spelling.near_in_lists(rest, first, np.zeros(0, np.int64))[0]) == 0
         home = np.searchsorted(first, np.arange(len(rest)), "right")
         want = {(a, b) for a in range(len(rest)) for b in range(len(rest)) if home[a] == home[b] and one_edit(rest[a], rest[b])}
         assert sorted(zip(q.tolist(), row.tolist())) == sorted(want)
