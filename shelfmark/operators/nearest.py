@@ -1,7 +1,8 @@
 """Exact nearest neighbours and exact greedy near-duplicate removal over unit vectors.
 
-Questions travel to the corpus in bounded blocks and are answered in a narrow pass. For
-deduplication, vectors are grouped into cells around a set of pivots that grows with their
+A bounded number of questions travels to the corpus and is answered in a narrow pass; more of
+them are joined with it cell by cell (``cells``). For deduplication, vectors are grouped into
+cells around a set of pivots that grows with their
 number; angles obey the triangle inequality, so cells that cannot hold a neighbour are
 skipped and the result is still exact. Identical vectors are collapsed first, so a huge
 group of copies costs as much as one vector.
@@ -9,9 +10,6 @@ group of copies costs as much as one vector.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,6 +18,7 @@ from pyspark.sql import types as T
 
 from shelfmark.functions.session import materialize
 from shelfmark.functions.windows import first_per_key
+from shelfmark.operators.cells import angles, cell_topk, choose_pivots, stack
 
 BLOCK = 1024
 #: Questions that travel to the tasks together.
@@ -28,37 +27,6 @@ QUESTIONS = 2048
 PER_CELL, MAX_PIVOTS = 2048, 4096
 
 
-def _stack(vectors) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-
-
-def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
-
-
-def choose_pivots(vectors: DataFrame, vec: str, count: int) -> np.ndarray:
-    """At most ``count`` vectors, picked by hash; small enough to travel with every task."""
-    count = min(count, MAX_PIVOTS)
-    rows = vectors.select(vec).orderBy(F.md5(F.array_join(F.transform(vec, lambda x: x.cast("string")), ","))).limit(count)
-    return _stack([r[0] for r in rows.collect()])
-
-
-def _with_cells(df: DataFrame, vec: str, pivots: np.ndarray) -> DataFrame:
-    """Add home ``cell`` and ``angle`` to its pivot."""
-    if len(pivots) == 1:
-        return df.withColumns({"cell": F.lit(0), "angle": F.lit(float(np.pi))})
-
-    @F.pandas_udf("cell int, angle double")
-    def place(v: pd.Series) -> pd.DataFrame:
-        if not len(v):
-            return pd.DataFrame({"cell": [], "angle": []})
-        angles = _angles(_stack(v), pivots)
-        home = angles.argmin(axis=1)
-        return pd.DataFrame({"cell": home, "angle": angles[np.arange(len(home)), home]})
-
-    return df.withColumn("_p", place(vec)).select(*df.columns, "_p.cell", "_p.angle")
-
-
 def _upto(blocks: str):
     return F.sequence(F.lit(0).cast("bigint"), F.col(blocks) - 1)
 
@@ -67,13 +35,6 @@ def _block_counts(df: DataFrame, name: str) -> DataFrame:
     return df.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("bigint").alias(name))
 
 
-def question_blocks(questions: DataFrame, key: str, block: int = QUESTIONS) -> Iterator[list]:
-    """The rows of ``questions`` on the driver, about ``block`` at a time, whatever their number."""
-    n = -(-questions.count() // block)
-    for i in range(n):
-        yield questions.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i).orderBy(key).collect()
-
-
 def best_of_batch(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For ``scores`` (questions x rows, ``-inf`` for none): positions of the best ``k`` rows of each, ties by id."""
     order = np.argsort(ids, kind="stable")
@@ -88,38 +49,36 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, *, exclude_s
     """Exact best ``k`` corpus vectors per query by cosine, ties by id.
 
     ``queries(query_id, vec)`` and ``corpus(chunk_id, vec)`` hold unit vectors; rows without a vector take no part.
-    With ``exclude_self`` a row is not its own neighbour. Returns ``query_id, chunk_id, score, rank``. The questions
-    travel in blocks of about ``QUESTIONS``; for each block one narrow pass over the corpus multiplies batches of rows
-    and hands on at most ``k`` rows per question and batch, so the corpus is never shuffled.
+    With ``exclude_self`` a row is not its own neighbour. Returns ``query_id, chunk_id, score, rank``. Up to ``QUESTIONS``
+    questions travel to the tasks; one narrow pass over the corpus multiplies batches of rows and hands on at most ``k``
+    rows per question and batch. More questions are joined with the corpus by cells, without passing the driver.
     """
     need = k + 1 if exclude_self else k
     asked = materialize(queries.select("query_id", "vec").filter(F.col("vec").isNotNull()), "query-vectors")
+    if asked.count() > QUESTIONS:
+        return cell_topk(asked, corpus, k, exclude_self=exclude_self)
     rows = corpus.select("chunk_id", "vec").filter(F.col("vec").isNotNull())
     schema = T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("chunk_id", corpus.schema["chunk_id"].dataType),
         T.StructField("score", T.DoubleType()),
     ])
-    found = []
-    for block in question_blocks(asked, "query_id"):
-        if not block:
-            continue
-        shipped = corpus.sparkSession.sparkContext.broadcast(([r["query_id"] for r in block], _stack([r["vec"] for r in block])))
-
-        def best(batches, shipped=shipped):
-            names, matrix = shipped.value
-            names = np.array(names, dtype=object)
-            for batch in batches:
-                for start in range(0, len(batch), BLOCK):
-                    part = batch.iloc[start : start + BLOCK]
-                    scores = np.floor(matrix @ _stack(part["vec"]).T * 1e6 + 0.5) / 1e6
-                    ids = part["chunk_id"].to_numpy()
-                    q, d = best_of_batch(ids, scores, need)
-                    yield pd.DataFrame({"query_id": names[q], "chunk_id": ids[d], "score": scores[q, d]})
-
-        found.append(rows.mapInPandas(best, schema))
-    if not found:
+    block = asked.collect()
+    if not block:
         return corpus.sparkSession.createDataFrame([], T.StructType([*schema, T.StructField("rank", T.IntegerType())]))
-    hits = reduce(DataFrame.unionByName, found)
+    shipped = corpus.sparkSession.sparkContext.broadcast(([r["query_id"] for r in block], stack([r["vec"] for r in block])))
+
+    def best(batches):
+        names, matrix = shipped.value
+        names = np.array(names, dtype=object)
+        for batch in batches:
+            for start in range(0, len(batch), BLOCK):
+                part = batch.iloc[start : start + BLOCK]
+                scores = np.floor(matrix @ stack(part["vec"]).T * 1e6 + 0.5) / 1e6
+                ids = part["chunk_id"].to_numpy()
+                q, d = best_of_batch(ids, scores, need)
+                yield pd.DataFrame({"query_id": names[q], "chunk_id": ids[d], "score": scores[q, d]})
+
+    hits = rows.mapInPandas(best, schema)
     if exclude_self:
         hits = hits.filter(F.col("query_id") != F.col("chunk_id"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id").asc())
@@ -148,9 +107,9 @@ def semantic_dedup(
     def memberships(v: pd.Series) -> pd.Series:
         if len(pivots) == 1:
             return pd.Series([[0]] * len(v))
-        angles = _angles(_stack(v), pivots)
-        home = angles.argmin(axis=1)
-        near = angles <= angles.min(axis=1, keepdims=True) + 2 * theta
+        to = angles(stack(v), pivots)
+        home = to.argmin(axis=1)
+        near = to <= to.min(axis=1, keepdims=True) + 2 * theta
         return pd.Series(
             [np.concatenate(([h], [c for c in np.flatnonzero(row) if c != h])).astype(np.int32) for h, row in zip(home, near)]
         )
@@ -166,7 +125,7 @@ def semantic_dedup(
 
     def decide(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ord", ignore_index=True)
-        near = _stack(rows["vec"]) @ _stack(rows["vec"]).T >= threshold
+        near = stack(rows["vec"]) @ stack(rows["vec"]).T >= threshold
         state = np.where(rows["home"], 0, 2)  # 0 open, 1 kept, 2 unknown here, 3 dropped
         for i in np.flatnonzero(state == 0):
             earlier = state[:i][near[i, :i]]
@@ -177,7 +136,7 @@ def semantic_dedup(
     def near_kept(rows: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or kept.empty:
             return pd.DataFrame({"ord": rows["ord"][:0], "kept": np.zeros(0, dtype=bool)})
-        hit = (_stack(rows["vec"]) @ _stack(kept["kvec"]).T >= threshold) & (
+        hit = (stack(rows["vec"]) @ stack(kept["kvec"]).T >= threshold) & (
             kept["kord"].to_numpy()[None, :] < rows["ord"].to_numpy()[:, None]
         )
         return pd.DataFrame({"ord": rows["ord"][hit.any(axis=1)], "kept": False})

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfmark.functions.session import materialize
+from shelfmark.functions.session import materialize, work_dir
 from shelfmark.operators import cache as result_cache
+from shelfmark.operators.cells import cell_topk
 from shelfmark.operators.embedding import embed
 from shelfmark.operators.fusion import coverage_scores, rerank_fallback, rerank_topk, rrf_fuse
 from shelfmark.operators.lexical import bm25_topk, corpus_stats, tokenise
 from shelfmark.operators.nearest import semantic_dedup, vector_topk
+from shelfmark.operators.postings import index_topk, update_index
 from shelfmark.operators.results import result_flat, result_rows
 from shelfmark.plans.bindings import (
     CACHE, CACHE_NOW, CHUNKS, DENSE, FUSED, LEXICAL, QUERIES_SQL, RERANKED, RETRIEVAL, WS_SQL,
@@ -31,6 +33,18 @@ def bm25(t):
     return bm25_topk(t.queries, t.chunks)
 
 
+@query("bm25_index_topk", with_sql(CHUNKS, QUERIES_SQL, LEXICAL) + "\nSELECT query_id, chunk_id, score, rank FROM bm25")
+def bm25_index(t):
+    """The same ranking from a stored index that came about in three updates: a first state with stale and dropped sources, then the present one."""
+    root, source = work_dir(t.spark, "index"), F.col("source")
+    early = t.chunks.filter(F.xxhash64("source") % 3 != 0)
+    old = early.select("chunk_id", "source", F.concat(F.lit("old "), "content").alias("content"))
+    gone = t.chunks.select(F.concat("chunk_id", F.lit("?")).alias("chunk_id"), F.concat(source, F.lit("?")).alias("source"), "content")
+    update_index(old.unionByName(gone), root)
+    update_index(t.chunks.filter(F.xxhash64("source") % 3 == 0), root, removed=gone.select("source"))
+    return index_topk(t.queries, update_index(early, root))
+
+
 @query("result_rows", with_sql(CHUNKS, QUERIES_SQL, LEXICAL) + f"""
 SELECT query_id, chunk_id, rank, {_shaped(strip_sql('content'))} AS content, source, page, industry
 FROM bm25 JOIN chunks USING (chunk_id)""")
@@ -64,6 +78,12 @@ def vectors(t):
     return vector_hits(t)
 
 
+@query("cell_topk", with_sql(VECTORS) + " SELECT query_id, chunk_id, score, rank FROM top")
+def vectors_by_cells(t):
+    """Every vector against all others as a join of cells, with more and smaller cells than the default has for tables of this size."""
+    return cell_topk(t.vectors.withColumnRenamed("chunk_id", "query_id"), t.vectors, exclude_self=True, pivots=16, slice_rows=256)
+
+
 @query("dense_topk", with_sql(CHUNKS, QUERIES_SQL, DENSE) + " SELECT query_id, chunk_id, score, rank FROM dense")
 def dense(t):
     """Text questions against chunk vectors."""

@@ -28,7 +28,7 @@ def brute(queries, corpus, k, exclude_self):
 @pytest.mark.parametrize("exclude_self", [False, True])
 def test_topk_is_exact(spark, monkeypatch, questions, exclude_self):
     monkeypatch.setattr(nearest, "BLOCK", 16)
-    monkeypatch.setattr(nearest.question_blocks, "__defaults__", (questions,))
+    monkeypatch.setattr(nearest, "QUESTIONS", questions)
     rng = np.random.default_rng(3)
     v = clustered(rng, 90)
     v[40:70] = v[7]  # a third of the rows are copies of one vector
