@@ -12,6 +12,7 @@ from shelfmark.operators.embedding import embed
 from shelfmark.operators.fusion import coverage_scores, rerank_topk, rrf_fuse
 from shelfmark.operators.lexical import CorpusStats, bm25_topk, corpus_stats, tokenise
 from shelfmark.operators.nearest import vector_topk
+from shelfmark.operators.postings import Index, corpus_stats_of, index_topk
 from shelfmark.operators.results import result_rows
 
 COLUMNS = [
@@ -21,13 +22,14 @@ COLUMNS = [
 
 
 def retrieve(
-    queries: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, query_vectors: DataFrame, stats: CorpusStats | None = None
+    queries: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, query_vectors: DataFrame, stats: CorpusStats | None = None,
+    index: Index | None = None,
 ) -> DataFrame:
-    """Both retrievers, fused: ``(query_id, chunk_id, score, bm25_rank, vec_rank, rank)``.
+    """Both retrievers, fused: ``(query_id, chunk_id, score, bm25_rank, vec_rank, rank)``. With an ``index`` no text is read.
 
     The list (20 rows per query at most) is written once, as scoring and shaping read it again.
     """
-    lexical = bm25_topk(queries, chunks, stats=stats)
+    lexical = index_topk(queries, index) if index else bm25_topk(queries, chunks, stats=stats)
     return materialize(rrf_fuse(lexical, vector_topk(query_vectors, chunk_vectors)), "fused")
 
 
@@ -38,12 +40,13 @@ def knowledge_query(
     cache: DataFrame | None = None,
     now: Column | None = None,
     top_n: int = 3,
+    index: Index | None = None,
 ) -> DataFrame:
     """``queries(query_id, query)`` to shaped result rows; a query without results keeps one row.
 
     ``cache(entry_id, query_hash, vec, chunk_ids, created_at, expires_at)`` answers repeated
     and near-repeated questions first; the others go through both retrievers, fusion and
-    rerank.
+    rerank. With a stored ``index`` of the chunks (``postings``) only the texts of candidates are read.
     """
     clean = queries.withColumn("query", strip(F.coalesce("query", F.lit(""))))
     blank = clean.filter(F.col("query") == "")
@@ -55,8 +58,8 @@ def knowledge_query(
         asked_now = asked.join(hits, "query_id", "left_anti")
     else:
         asked_now = asked
-    stats = corpus_stats(tokenise(chunks))
-    fused = retrieve(asked_now, chunks, chunk_vectors, asked_now.select("query_id", "vec"), stats)
+    stats = corpus_stats_of(queries.sparkSession, index) if index else corpus_stats(tokenise(chunks))
+    fused = retrieve(asked_now, chunks, chunk_vectors, asked_now.select("query_id", "vec"), stats, index)
     pairs = coverage_scores(fused.select("query_id", "chunk_id", "rank"), asked_now, chunks, stats=stats)
     ranked = materialize(rerank_topk(pairs, top_n), "ranked")
     answers = ranked.select("query_id", "chunk_id", "rank")
