@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions import groups
 from shelfmark.functions.session import materialize
 from shelfmark.llm import blocks
 from shelfmark.llm.components import components
@@ -133,9 +134,9 @@ def _compare(radius: int, masks: list[int]):
         return f[linked].view(np.int64), f[root[linked]].view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks.whole_groups(batches, KEYS):
+        for table in groups.whole_groups(batches, KEYS):
             t, f, i, j, side = (table.column(c).to_numpy() for c in ("t", "f", "i", "j", "side"))
-            first = blocks.changes(table, KEYS)
+            first = groups.changes(table, KEYS)
             alone = np.diff(np.append(first, len(f)))
             for choice in np.unique(t[first[alone > 1]]):
                 lo, hi = np.searchsorted(t, [choice, choice + 1])

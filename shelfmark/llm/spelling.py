@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions import groups
 from shelfmark.functions.session import materialize
 from shelfmark.llm import blocks
 
@@ -123,11 +124,11 @@ def near_in_lists(rest: list[str], first: np.ndarray, asking: np.ndarray) -> tup
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in blocks.whole_groups(batches, KEYS):
+    for table in groups.whole_groups(batches, KEYS):
         rest, key = table.column("rest").to_pylist(), table.column("key").to_pylist()
         code, n, i, j, side = (table.column(c).to_numpy() for c in ("code", "n", "i", "j", "side"))
         own = np.array([len(r) + len(k) for r, k in zip(rest, key)]) == code // 2
-        a, b = near_in_lists(rest, blocks.changes(table, KEYS), np.flatnonzero(own))
+        a, b = near_in_lists(rest, groups.changes(table, KEYS), np.flatnonzero(own))
         # two words of the list's length find each other; words of different slices meet in one block only
         keep = (~own[b] | (a < b)) & ((i[a] == j[a]) | (side[a] != side[b]))
         a, b = a[keep], b[keep]
