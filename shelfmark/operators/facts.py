@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.functions.session import materialize
 from shelfmark.functions.text import is_json, strip, strip_json_fence
 from shelfmark.functions.windows import first_per_key
 
@@ -133,19 +135,49 @@ def fact_lines(facts: DataFrame) -> Column:
 
 
 class BadInput(ValueError):
-    """The statement is not a plain query."""
+    """The statement is not a plain query of the fact table."""
 
 
-def query_metrics(spark: SparkSession, facts: DataFrame, sql: str, args: dict | None = None) -> DataFrame:
-    """Run one read-only statement over the view ``financial_metrics``.
+VIEW = "financial_metrics"
+#: Settings that statements see as the caller has them.
+_SHARED = ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.ansi.enabled", "spark.sql.adaptive.enabled")
 
-    The statement must begin with SELECT: a WITH could lead an INSERT. Spark parses, plans and runs it; the view is
-    gone as soon as the statement is planned.
+
+class MetricBase:
+    """The fact table, stored once, in a session of its own that knows nothing else.
+
+    The caller's views do not exist in that session and files cannot be named in it, so a statement can reach the fact
+    view and the tables of the catalogue only; the latter are refused by name before the statement is planned.
     """
-    if not re.match(r"\s*SELECT\b", sql, re.IGNORECASE):
-        raise BadInput("only SELECT is allowed")
-    facts.createOrReplaceTempView("financial_metrics")
-    try:
-        return spark.sql(sql, args=args)
-    finally:
-        spark.catalog.dropTempView("financial_metrics")
+
+    def __init__(self, facts: DataFrame):
+        spark = facts.sparkSession
+        self.stored = materialize(facts, "facts")
+        self.session = spark.newSession()
+        for key in _SHARED:
+            self.session.conf.set(key, spark.conf.get(key))
+        self.session.conf.set("spark.sql.runSQLOnFiles", "false")
+        self.session.read.schema(facts.schema).parquet(self.stored.written_to).createOrReplaceTempView(VIEW)
+
+    def query(self, sql: str, args: dict | None = None) -> DataFrame:
+        """Run one read-only statement; :class:`BadInput` if it is anything else.
+
+        It must begin with SELECT: a WITH could lead an INSERT. Every relation it names, in subqueries too, must be the
+        fact view.
+        """
+        if not re.match(r"\s*SELECT\b", sql, re.IGNORECASE):
+            raise BadInput("only SELECT is allowed")
+        try:
+            plan = self.session.sql(f"EXPLAIN EXTENDED {sql}", args=args).first()[0]
+            parsed = plan.split("== Analyzed Logical Plan ==")[0]
+            others = {n for n in re.findall(r"'UnresolvedRelation \[([^\]]*)\]", parsed) if n.lower() != VIEW}
+            if others or "'UnresolvedTableValuedFunction" in parsed:
+                raise BadInput(f"only {VIEW} can be read, not {', '.join(sorted(others)) or 'a table function'}")
+            return self.session.sql(sql, args=args)
+        except (ParseException, AnalysisException) as error:
+            raise BadInput(str(error).splitlines()[0]) from error
+
+
+def query_metrics(spark: SparkSession, facts: DataFrame | MetricBase, sql: str, args: dict | None = None) -> DataFrame:
+    """Run one read-only statement over the view ``financial_metrics``; keep a :class:`MetricBase` to run several."""
+    return (facts if isinstance(facts, MetricBase) else MetricBase(facts)).query(sql, args)

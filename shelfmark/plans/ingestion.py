@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfmark.functions.session import work_dir
 from shelfmark.functions.text import text_lines
 from shelfmark.operators import ingest, layout, quality
 from shelfmark.operators.chunking import chunk_docs
 from shelfmark.plans.bindings import CHUNKS, strip_sql, with_sql
 from shelfmark.plans.registry import query
+from shelfmark.sources import chunk_store as store
 from shelfmark.sources.corpus import chunks_of, rows_to_text, union_sheets
 
 PAGE_LINES = 40
@@ -223,6 +225,33 @@ def replace_source(t):
     return ingest.replace_sources(target, updates, touched)
 
 
+@query("stored_upsert", with_sql(CHUNKS) + """,
+target AS (SELECT chunk_id, source, industry, content || ' old' AS content FROM chunks WHERE doc_id IN (SELECT doc_id FROM labels)),
+updates AS (SELECT chunk_id, source, industry, content FROM chunks WHERE industry IN ('en', 'fr')),
+merged AS (SELECT * FROM updates UNION ALL SELECT * FROM target WHERE chunk_id NOT IN (SELECT chunk_id FROM updates))
+SELECT chunk_id, source, industry, md5(content) AS content_md5 FROM merged WHERE source NOT IN ('src1', 'src2')
+UNION ALL SELECT chunk_id, source, industry, md5(content) FROM chunks WHERE source = 'src2' AND doc_type = 'text'""")
+def stored_upsert(t):
+    """The upsert on a stored table, followed by one that re-reads a source and drops another; read back by its pointer."""
+    root, columns = work_dir(t.spark, "chunk-store"), ["chunk_id", "source", "industry", "content"]
+    labelled = t.chunks.join(t["labels"].select("doc_id"), "doc_id", "left_semi")
+    store.upsert_chunks(labelled.withColumn("content", F.concat("content", F.lit(" old"))).select(*columns), root)
+    came = t.chunks.filter(F.col("industry").isin("en", "fr")).select(*columns)
+    draft = came.withColumns({"content": F.concat("content", F.lit(" draft")), "seq": F.lit(1)})
+    store.upsert_chunks(draft.unionByName(came.withColumn("seq", F.lit(2))), root, seq="seq")
+    again = t.chunks.filter("source = 'src2' and doc_type = 'text'").select(*columns)
+    now = store.upsert_chunks(again, root, t.spark.sql("SELECT 'src1' AS source"), by="source")
+    return store.read_store(t.spark, now).select("chunk_id", "source", "industry", F.md5("content").alias("content_md5"))
+
+
+@query("store_chunks_by_source", with_sql(CHUNKS) + " SELECT chunk_id, page, doc_type, content FROM chunks WHERE source = 'src3' AND industry = 'en'")
+def store_chunks_by_source(t):
+    """Chunks of a source and industry from the stored table: one bucket's folder of that industry is read."""
+    rows = t.chunks.select("chunk_id", "source", "industry", "page", "doc_type", "content")
+    stored = store.upsert_chunks(rows, work_dir(t.spark, "chunk-store"))
+    return store.read_store(t.spark, stored, "src3", "en").select("chunk_id", "page", "doc_type", "content")
+
+
 PACKED = """sized AS (SELECT path, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_chunks FROM files),
 packed AS (SELECT path, n_chunks, (last - n_chunks) // {size} AS first_batch, (last - 1) // {size} AS last_batch FROM (
   SELECT path, n_chunks, CAST(sum(n_chunks) OVER (ORDER BY md5(path), path) AS BIGINT) AS last FROM sized))"""

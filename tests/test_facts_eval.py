@@ -100,3 +100,29 @@ def test_detail_columns(spark):
     )
     r = ev.eval_detail(df).first()
     assert r.chunk_text_preview == "a b" + "c" * 77 and r.contexts_count == 2 and r.sources == '[{"file":"f","page":1}]'
+
+
+def test_statements_see_the_fact_table_alone(spark, tmp_path):
+    facts = spark.createDataFrame([("A", 1.0), ("B", 2.0)], "company string, value double")
+    base = fx.MetricBase(facts)
+    spark.createDataFrame([("s",)], "secret string").createOrReplaceTempView("secrets")
+    spark.range(3).write.parquet(path := str(tmp_path / "other"))
+    spark.sql(f"CREATE TABLE catalogued USING parquet LOCATION '{path}'")
+    try:
+        refused = [
+            "SELECT * FROM secrets", f"SELECT * FROM parquet.`{path}`", "SELECT * FROM catalogued", "SELECT * FROM default.catalogued",
+            "SELECT (SELECT max(secret) FROM secrets) AS x FROM financial_metrics", f"SELECT * FROM financial_metrics WHERE value IN (SELECT id FROM parquet.`{path}`)",
+            "SELECT * FROM financial_metrics WHERE EXISTS (SELECT 1 FROM spark_catalog.default.catalogued)",
+            "SELECT * FROM financial_metrics JOIN catalogued ON true", "SELECT * FROM range(5)", "SELECT * FROM global_temp.secrets",
+            "SELECT value FROM (WITH f AS (SELECT * FROM catalogued) SELECT 1 AS value FROM f)", "SELECT nothing FROM financial_metrics", "SELECT FROM WHERE",
+        ]
+        for sql in refused:
+            with pytest.raises(fx.BadInput):
+                base.query(sql)
+        assert base.query("SELECT sum(value) AS s FROM Financial_Metrics f WHERE company IN (SELECT company FROM financial_metrics)").first().s == 3.0
+        assert base.query("SELECT value FROM financial_metrics WHERE company = :c", {"c": "B"}).first().value == 2.0
+        assert base.query("SELECT 'UnresolvedRelation [x]' AS t FROM financial_metrics LIMIT 1").first().t
+        assert spark.table("secrets").count() == 1 and not spark.catalog.tableExists("financial_metrics")
+    finally:
+        spark.sql("DROP TABLE catalogued")
+        spark.catalog.dropTempView("secrets")
