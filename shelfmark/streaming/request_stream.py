@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from shelfmark.functions.session import work_dir
 from shelfmark.operators import requests as rq
 from shelfmark.operators.ingest import upsert
-from shelfmark.streaming.runner import collect_batches, latest, rocksdb_state, run
+from shelfmark.streaming.runner import collect_batches, late_rows, latest, rocksdb_state, run
 
 # A request is over after this many seconds without an event.
 REQUEST_TIMEOUT = "120 seconds"
@@ -34,6 +34,24 @@ def window_counts(requests: DataFrame, limit: int, window: str = "1 minute", lat
     return latest(emitted, ["bucket", "window_start"]).withColumn("rejected", F.greatest(F.lit(0), F.col("n") - limit))
 
 
+def window_counts_and_late(requests: DataFrame, window: str = "1 minute", lateness: str = LATENESS) -> tuple[DataFrame, int]:
+    """Requests per bucket and fixed window ``(bucket, window_start, n)``, and how many rows came too late to be counted.
+
+    The stream observes the rows that come; what no window has counted is late. With rows turned away the operator's own
+    report must not be zero, and the other way round.
+    """
+    came = requests.observe("came", F.count(F.lit(1)).alias("rows"))
+    counted = came.withWatermark("ts", lateness).groupBy("bucket", F.window("ts", window).alias("w")).agg(F.count("*").alias("n"))
+    with late_rows(requests.sparkSession) as report:
+        emitted = collect_batches(counted.select("bucket", F.unix_seconds("w.start").alias("window_start"), "n"), "update")
+        report.wait()
+    final = latest(emitted, ["bucket", "window_start"])
+    late = report.came - (final.agg(F.sum("n")).first()[0] or 0)
+    if (late > 0) != (report.dropped > 0):
+        raise RuntimeError(f"{late} rows are missing, the stream turned {report.dropped} away")
+    return final, late
+
+
 def sessions(requests: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Sessions per user closed by silence, with what they used; emitted once the watermark passed."""
     spans = requests.withWatermark("ts", lateness).groupBy("user_id", F.session_window("ts", REQUEST_TIMEOUT).alias("s"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 from shelfmark.functions.session import work_dir
 
@@ -44,6 +46,58 @@ def stream_table(
     return reader.parquet(folder)
 
 
+def arrivals(parts: Sequence[DataFrame], folder: str) -> DataFrame:
+    """A stream of ``parts`` that arrive one after the other, a micro-batch each, in the order given."""
+    spark = parts[0].sparkSession
+    for no, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/part={no}")
+    reader = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1)
+    return reader.parquet(f"{folder}/part=*")
+
+
+class LateRows(StreamingQueryListener):
+    """What a stream reports of rows that came behind the watermark.
+
+    ``dropped`` counts what its stateful operators turned away. Behind a partial aggregate that is fewer than the rows that
+    came, so a stream that observes ``rows`` under the name ``came`` has those in ``came``.
+    """
+
+    def __init__(self):
+        self.dropped = self.came = 0
+        self._ended = threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.dropped += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        seen = event.progress.observedMetrics.get("came")
+        self.came += seen["rows"] if seen is not None else 0
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._ended.set()
+
+    def wait(self, seconds: float = 60.0) -> "LateRows":
+        """Until the last report has arrived; reports come behind the stream."""
+        if not self._ended.wait(seconds):
+            raise TimeoutError("the stream has not reported its end")
+        return self
+
+
+@contextmanager
+def late_rows(spark: SparkSession):
+    """Listen to the one stream that is started inside."""
+    listener = LateRows()
+    spark.streams.addListener(listener)
+    try:
+        yield listener
+    finally:
+        spark.streams.removeListener(listener)
+
+
 def run(stream: DataFrame, handle, mode: str = "append", checkpoint: str | None = None) -> None:
     """Drain the source through ``handle(batch, batch_id)`` and stop.
 
