@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import strip
@@ -83,6 +83,37 @@ def split_column(text: Column, kind: str | Column = "pdf", size: int = CHUNK_SIZ
     return split(text, F.lit(kind) if isinstance(kind, str) else kind)
 
 
+def chunk_table(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
+    """The chunker as a table function ``(text, kind) -> (chunk_no, content)`` for lateral joins and SQL.
+
+    A chunk is handed on as it is cut, so a very long text never stands in memory a second time as a list of chunks.
+    """
+
+    class Chunks:
+        def eval(self, text: str, kind: str):
+            no = 0
+            for a, b in chunk_spans(text or "", LADDERS.get(kind, LADDERS["txt"]), size, overlap):
+                content = text[a:b].strip()
+                if content:
+                    yield no, content
+                    no += 1
+
+    return F.udtf(Chunks, returnType="chunk_no int, content string", useArrow=True)
+
+
+def register_chunker(spark: SparkSession, name: str = "chunk_text", **sizes) -> None:
+    """Make the table function known to SQL: ``FROM docs, LATERAL chunk_text(text, 'pdf')``."""
+    spark.udtf.register(name, chunk_table(**sizes))
+
+
+def chunk_docs_lateral(docs: DataFrame, text_col: str = "text", kind: str | Column = "pdf", **sizes) -> DataFrame:
+    """The rows of :func:`chunk_docs`, by a lateral join with the table function."""
+    rest = [c for c in docs.columns if c != text_col]
+    stripped = docs.withColumn(text_col, strip(F.col(text_col)))
+    column = F.lit(kind) if isinstance(kind, str) else kind
+    return stripped.lateralJoin(chunk_table(**sizes)(F.col(text_col).outer(), column if isinstance(kind, str) else column.outer())).select(*rest, "chunk_no", "content")
+
+
 def chunk_docs(docs: DataFrame, text_col: str = "text", kind: str | Column = "pdf", **sizes) -> DataFrame:
     """Explode each document into ``chunk_no, content``; the other columns are kept.
 

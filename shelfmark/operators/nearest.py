@@ -23,8 +23,8 @@ from shelfmark.operators.cells import angles, cell_topk, choose_pivots, stack
 BLOCK = 1024
 #: Questions that travel to the tasks together.
 QUESTIONS = 2048
-#: Rows per cell aimed at, and the most pivots that travel with every task.
-PER_CELL, MAX_PIVOTS = 2048, 4096
+#: Rows per cell aimed at, rows of a cell that are decided in a round, and the most pivots that travel with every task.
+PER_CELL, BATCH, MAX_PIVOTS = 32768, 32768, 4096
 
 
 def _upto(blocks: str):
@@ -86,7 +86,7 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, *, exclude_s
 
 
 def semantic_dedup(
-    records: DataFrame, threshold: float = 0.92, *, cells: int | None = None, batch: int = 4096
+    records: DataFrame, threshold: float = 0.92, *, cells: int | None = None, batch: int = BATCH
 ) -> DataFrame:
     """Greedy near-duplicate removal: in ``ord`` order keep a row unless it is at least
     ``threshold`` similar to a row already kept. ``records(ord, vec)``, ``ord`` unique.
@@ -125,11 +125,18 @@ def semantic_dedup(
 
     def decide(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ord", ignore_index=True)
-        near = stack(rows["vec"]) @ stack(rows["vec"]).T >= threshold
+        vectors = stack(rows["vec"])
         state = np.where(rows["home"], 0, 2)  # 0 open, 1 kept, 2 unknown here, 3 dropped
-        for i in np.flatnonzero(state == 0):
-            earlier = state[:i][near[i, :i]]
-            state[i] = 3 if (earlier == 1).any() else 2 if (earlier == 2).any() else 1
+        for start in range(0, len(rows), BLOCK):
+            block, now = vectors[start : start + BLOCK], state[start : start + BLOCK]
+            # only rows that are kept or unknown can matter to a later one
+            before = np.flatnonzero((state[:start] == 1) | (state[:start] == 2))
+            near = block @ vectors[before].T >= threshold
+            by_kept, by_unknown = near[:, state[before] == 1].any(axis=1), near[:, state[before] == 2].any(axis=1)
+            near = block @ block.T >= threshold
+            for i in np.flatnonzero(now == 0):
+                earlier = now[:i][near[i, :i]]
+                now[i] = 3 if by_kept[i] or (earlier == 1).any() else 2 if by_unknown[i] or (earlier == 2).any() else 1
         done = (state == 1) | (state == 3)
         return pd.DataFrame({"ord": rows["ord"][done], "kept": state[done] == 1})
 

@@ -240,6 +240,46 @@ def thread_stats(checkpoints: DataFrame, top: int = 5) -> DataFrame:
     )
 
 
+#: Size of a sketch (its error is about 1.04 / sqrt(2 ** SKETCH_BITS), 1.6 %) and threads that a summary names.
+SKETCH_BITS, NAMED_THREADS = 12, 4096
+SUMMARY = "sketch binary, n long, named array<struct<n: long, thread_id: string>>, unnamed long"
+
+
+def thread_summary(checkpoints: DataFrame, named: int = NAMED_THREADS) -> DataFrame:
+    """One row that stands for these checkpoints in :func:`summarised_stats`: ``sketch, n, named, unnamed``.
+
+    ``sketch`` counts distinct threads; ``named`` holds the ``named`` busiest threads with their counts, and no other thread
+    has more than ``unnamed``.
+    """
+    counts = checkpoints.groupBy(F.col("thread_id").cast("string").alias("thread_id")).agg(F.count("*").alias("n"))
+    # one row more than is named: its count bounds all that follow
+    busiest = counts.orderBy(F.col("n").desc(), "thread_id").limit(named + 1).agg(F.reverse(F.array_sort(F.collect_list(F.struct("n", "thread_id")))).alias("top"))
+    whole = checkpoints.agg(F.hll_sketch_agg(F.col("thread_id").cast("string"), F.lit(SKETCH_BITS)).alias("sketch"), F.count("*").alias("n"))
+    return whole.crossJoin(busiest).select(
+        "sketch", "n", F.slice("top", 1, named).alias("named"),
+        F.coalesce(F.try_element_at("top", F.lit(named + 1))["n"], F.lit(0).cast("long")).alias("unnamed"),
+    )
+
+
+def append_summary(checkpoints: DataFrame, path: str, batch: int, named: int = NAMED_THREADS) -> None:
+    """Store the summary of one batch; a repeated batch replaces its own."""
+    thread_summary(checkpoints, named).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def summarised_stats(summaries: DataFrame, top: int = 5) -> DataFrame:
+    """:func:`thread_stats` from stored summaries, without the checkpoints: ``thread_id, n, n_most, total_threads, total_checkpoints``.
+
+    ``total_threads`` is within the sketch's error. A thread has at least ``n`` and at most ``n_most`` checkpoints; with no
+    more threads than a summary names both are exact.
+    """
+    totals = summaries.agg(
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("total_threads"), F.sum("n").alias("total_checkpoints"), F.sum("unnamed").alias("unnamed")
+    )
+    seen = summaries.select("unnamed", F.explode("named").alias("t")).groupBy("t.thread_id").agg(F.sum("t.n").alias("n"), F.sum("unnamed").alias("own"))
+    best = seen.orderBy(F.col("n").desc(), "thread_id").limit(top)
+    return best.crossJoin(totals).select("thread_id", "n", (F.col("n") + F.col("unnamed") - F.col("own")).alias("n_most"), "total_threads", "total_checkpoints")
+
+
 def cleanup_threads(checkpoints: DataFrame, cutoff: Column, *, any_old: bool = False) -> DataFrame:
     """Threads to delete and their sizes: last touched before ``cutoff`` (or, with
     ``any_old``, holding any row older than it)."""

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfmark.functions.patterns import first_rule, mentions
+from shelfmark.functions.text import tokens
 from shelfmark.operators import evaluation as ev
 from shelfmark.operators.lexical import bm25_topk
 from shelfmark.operators.quality import is_boilerplate, is_noise_question
-from shelfmark.plans.bindings import CHUNKS, LEXICAL, QUERIES_SQL, strip_sql, with_sql
+from shelfmark.plans.bindings import CHUNKS, LEXICAL, QUERIES_SQL, strip_sql, tokens_sql, with_sql
 from shelfmark.plans.registry import query
 from shelfmark.plans.retrieval import VECTORS, vector_hits
 
@@ -197,3 +199,27 @@ TAG_WORDS = {"first": ["ein", "ción"], "second": ["the", "eau"], "third": ["os"
     f"WHEN {' OR '.join(f"contains(text, '{w}')" for w in words)} THEN '{name}'" for name, words in TAG_WORDS.items()) + " END AS industry FROM documents")
 def industry_tag(t):
     return t["documents"].select("doc_id", ev.industry_tag(F.col("text"), TAG_WORDS).alias("industry"))
+
+
+# A large rule table: every longer word of the benchmark is a pattern, its category and precedence come from its hash.
+RULES = f"""rules AS (SELECT pattern, 'c' || substr(md5(pattern), 1, 1) AS category, ('0x' || substr(md5(pattern), 3, 6))::BIGINT AS priority
+  FROM (SELECT DISTINCT unnest({tokens_sql('text')}) AS pattern FROM benchmark) WHERE length(pattern) >= 6)"""
+
+
+def rules(t):
+    words = t["benchmark"].select(F.explode(tokens(F.col("text"))).alias("pattern")).distinct().filter(F.length("pattern") >= 6)
+    md5 = F.md5("pattern")
+    return words.select("pattern", F.concat(F.lit("c"), F.substring(md5, 1, 1)).alias("category"), F.conv(F.substring(md5, 3, 6), 16, 10).cast("long").alias("priority"))
+
+
+@query("rule_tags", with_sql(RULES) + """
+SELECT doc_id, arg_min(category, {'p': priority, 'c': category}) AS category FROM documents LEFT JOIN rules ON contains(text, pattern) GROUP BY doc_id""")
+def rule_tags(t):
+    """The category of the first rule, in order of precedence, that names a word of the document."""
+    return t["documents"].select("doc_id", first_rule(F.col("text"), rules(t)).alias("category"))
+
+
+@query("rule_mentions", with_sql(RULES) + " SELECT doc_id, pattern, CAST(instr(text, pattern) AS INT) AS at FROM documents JOIN rules ON contains(text, pattern)")
+def rule_mentions(t):
+    """Every rule that a document mentions, and where first."""
+    return mentions(t["documents"].select("doc_id", "text"), rules(t)).select("doc_id", "pattern", "at")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark.functions.session import work_dir
-from shelfmark.functions.text import text_lines
+from shelfmark.functions.text import text_lines, tokens
 from shelfmark.operators import ingest, layout, quality
-from shelfmark.operators.chunking import chunk_docs
-from shelfmark.plans.bindings import CHUNKS, strip_sql, with_sql
+from shelfmark.operators.chunking import chunk_docs, chunk_docs_lateral
+from shelfmark.plans.bindings import CHUNKS, strip_sql, tokens_sql, with_sql
 from shelfmark.plans.registry import query
 from shelfmark.sources import chunk_store as store
 from shelfmark.sources.corpus import chunks_of, rows_to_text, union_sheets
@@ -282,6 +282,25 @@ def chunks(t):
     return chunk_docs(t["documents"].select("doc_id", "source", "text"))
 
 
+@query("chunk_words", f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_transform({tokens_sql('text')}, lambda w: substr(w, 1, 60)) AS w FROM documents),
+l AS (SELECT doc_id, array_to_string(w, ' ') AS text, list_transform(w, lambda x: length(x)) AS len FROM d WHERE len(w) > 0),
+c AS (SELECT doc_id, text, list(upto ORDER BY i) AS cuts FROM (
+  SELECT doc_id, text, i, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY i) + i - 1 AS BIGINT) AS upto FROM (
+    SELECT doc_id, text, unnest(len) AS n, generate_subscripts(len, 1) AS i FROM l)
+  UNION ALL SELECT doc_id, text, 0, 0 FROM l) GROUP BY ALL),
+walk AS (
+  SELECT doc_id, 0 AS no, 1::BIGINT AS tail, len(list_filter(cuts, lambda x: x <= 500)) AS head FROM c
+  UNION ALL
+  SELECT doc_id, no + 1, first, len(list_filter(cuts, lambda x: x <= cuts[first] + 500)) FROM (
+    SELECT doc_id, no, cuts, len(list_filter(cuts, lambda x: x < cuts[head] - 50)) + 1 AS first FROM walk JOIN c USING (doc_id) WHERE head < len(cuts)))
+SELECT doc_id, no AS chunk_no, trim(substr(text, cuts[tail]::INT + 1, (cuts[head] - cuts[tail])::INT)) AS content FROM walk JOIN c USING (doc_id)""")
+def chunk_words(t):
+    """Texts with one level of separators (words of at most 60 characters, a space between two), cut by the table function."""
+    words = F.transform(tokens(F.col("text")), lambda w: F.substring(w, 1, 60))
+    return chunk_docs_lateral(t["documents"].select("doc_id", F.array_join(words, " ").alias("text")), kind="txt")
+
+
 # --- layout ----------------------------------------------------------------------------
 
 

@@ -74,6 +74,24 @@ def stream_ingest(t):
     return ing.read_corpus(t.spark, root)
 
 
+@query("stream_manifest", """
+WITH f AS (SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, doc_id, text FROM documents)
+SELECT path, md5(text) AS hash, CASE WHEN doc_id % 5 = 3 THEN 4 ELSE doc_id % 5 END AS batch FROM f""")
+def stream_manifest(t):
+    """Five micro-batches with a snapshot after every second: each brings a fifth of the documents, two of them an early state of the
+    fourth fifth, whose present state comes last, with some documents again that did not change."""
+    docs, old = t["documents"], F.concat("text", F.lit(" (old)"))
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    fifth = F.col("doc_id") % 5
+    rows = docs.select(path.alias("path"), "text", fifth.alias("fifth"))
+    stale = docs.filter(fifth == 3).select(path.alias("path"), old.alias("text"))
+    now = [rows.filter(F.col("fifth") == i).select("path", "text") for i in range(5)]
+    parts = [now[0], now[1].unionByName(stale), now[2].unionByName(now[0]), stale.unionByName(now[1]), now[4].unionByName(now[3]).unionByName(now[2])]
+    root = work_dir(t.spark, "ingest")
+    ing.ingest_stream(arrivals(parts, work_dir(t.spark, "arrivals")), root, compact=2)
+    return ing.read_manifest(t.spark, root).select("path", "hash", F.col("batch").cast("long"))
+
+
 # --- streams whose files arrive out of order -------------------------------------------------
 
 LATENESS = 3600

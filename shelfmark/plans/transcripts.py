@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfmark.functions.session import work_dir
 from shelfmark.operators import ingest
 from shelfmark.operators import transcripts as tr
 from shelfmark.plans.bindings import WS_SQL, strip_sql, with_sql
@@ -222,6 +223,20 @@ def thread_stats(t):
     return tr.thread_stats(checkpoints(t))
 
 
+@query("thread_summary_stats", """
+SELECT CAST(user_id AS VARCHAR) AS thread_id, count(*) AS n, count(*) AS n_most, (SELECT count(*) FROM events) AS total_checkpoints, true AS threads_in_error
+FROM events GROUP BY user_id ORDER BY n DESC, thread_id LIMIT 5""")
+def thread_summary_stats(t):
+    """The statistics from summaries of three batches, stored one after the other; the estimate is held against the exact number."""
+    path = work_dir(t.spark, "summaries")
+    for batch in range(3):
+        tr.append_summary(checkpoints(t).filter(F.col("checkpoint_id") % 3 == batch), path, batch)
+    rows = tr.summarised_stats(t.spark.read.schema(tr.SUMMARY).parquet(path))
+    exact = checkpoints(t).agg(F.count_distinct("thread_id")).scalar()
+    close = F.abs(F.col("total_threads") - exact) <= F.greatest(F.lit(1.0), 3 * 1.04 / 2 ** (tr.SKETCH_BITS / 2) * exact)
+    return rows.select("thread_id", "n", "n_most", "total_checkpoints", close.alias("threads_in_error"))
+
+
 @query("cleanup_threads", """
 SELECT user_id AS thread_id, count(*) AS n FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-30 12:00:00'""")
 def cleanup_threads(t):

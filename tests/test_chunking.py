@@ -2,6 +2,7 @@
 
 import hypothesis.strategies as st
 from hypothesis import given, settings
+from pyspark.sql import functions as F
 
 from shelfmark.operators.chunking import LADDERS, chunk_docs, chunk_spans
 
@@ -50,3 +51,17 @@ def test_blank_documents_give_nothing(spark):
     rows = chunk_docs(df).collect()
     assert {r.doc_id for r in rows} == {3} and all(len(r.content) <= 500 for r in rows)
     assert sorted(r.chunk_no for r in rows) == list(range(len(rows)))
+
+
+def test_table_function_gives_the_same_rows(spark, tables):
+    from shelfmark.operators.chunking import chunk_docs, chunk_docs_lateral, register_chunker
+
+    docs = tables["documents"].select("doc_id", "text", F.element_at(F.array(F.lit("pdf"), F.lit("md"), F.lit("py")), (F.col("doc_id") % 3 + 1).cast("int")).alias("kind"))
+    docs = docs.union(spark.createDataFrame([(-1, None, "pdf"), (-2, " \n ", "pdf"), (-3, "x", None)], "doc_id long, text string, kind string"))
+    want, got = (cut(docs, kind=F.col("kind")).select("doc_id", "chunk_no", "content").collect() for cut in (chunk_docs, chunk_docs_lateral))
+    assert sorted(want) == sorted(got) and len(got) > 500
+    register_chunker(spark, "cut_small", size=40, overlap=5)
+    docs.createOrReplaceTempView("texts_to_cut")
+    small = spark.sql("SELECT doc_id, c.* FROM texts_to_cut, LATERAL cut_small(text, 'txt') c WHERE doc_id = 3")
+    assert small.count() > 1 and small.agg(F.max(F.length("content"))).first()[0] <= 40
+    spark.catalog.dropTempView("texts_to_cut")

@@ -1,5 +1,6 @@
 """Files in and out, and streams against their batch forms."""
 
+import hashlib
 import json
 import os
 from datetime import datetime, timedelta
@@ -178,3 +179,23 @@ def test_ingest_replaces_changed_documents_and_survives_replay(spark, tmp_path):
 def test_stream_table_reads_the_named_files(spark, tables):
     s = stream_table(spark, tables.folder, "events", tables["events"].schema)
     assert s.isStreaming and chunk_docs(tables["documents"].limit(1)).count() > 0
+
+
+def test_manifest_snapshots_stand_for_the_batches_before(spark, tmp_path):
+    schema, root = "path string, text string, seq int", str(tmp_path / "kb")
+    state = {}
+    for batch in range(7):
+        rows = [(f"p{i}", f"text {i} of {batch if i % 3 == batch % 3 else 'ever'}", 1) for i in range(batch + 3)]
+        rows += [("twice", f"draft {batch}", 1), ("twice", "final", 2)]
+        ing.ingest_batch(spark.createDataFrame(rows, schema), batch, root, compact=3)
+        for path, text, _ in rows:
+            if state.get(path, ("", 0))[0] != text and not text.startswith("draft"):
+                state[path] = (text, batch)
+        known = {r.path: (r.hash, r.batch) for r in ing.read_manifest(spark, root).collect()}
+        assert known == {p: (hashlib.md5(t.encode()).hexdigest(), b) for p, (t, b) in state.items()}
+    assert sorted(p.name for p in (tmp_path / "kb/snapshots").iterdir()) == ["batch=2", "batch=5"]
+    for n in (0, 1, 3):  # what a snapshot covers is not read any more
+        for f in (tmp_path / f"kb/manifest/batch={n}").iterdir():
+            f.write_bytes(b"")
+    assert {r.path: r.batch for r in ing.read_manifest(spark, root).collect()} == {p: b for p, (_, b) in state.items()}
+    assert {r.path: r.content for r in ing.read_corpus(spark, root).collect()} == {p: t for p, (t, _) in state.items()}

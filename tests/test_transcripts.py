@@ -138,3 +138,19 @@ def test_text_that_is_no_payload_is_kept_cut(spark):
     rows = sorted(tr.shrink_results(df, "j").collect(), key=lambda r: r.id)
     assert [r.raw for r in rows] == ["broken", '{"answer": "x"}', "y" * 2997 + "...", ""]
     assert {(r.pos, r.answer) for r in rows} == {(None, None)}
+
+
+def test_summaries_of_batches_stand_for_the_checkpoints(spark, tmp_path):
+    rows = [(f"t{i % 700}", i) for i in range(3000)] + [("busy", i) for i in range(900)] + [("odd", i) for i in range(50)] + [(None, 1)]
+    df = spark.createDataFrame(rows, "thread_id string, checkpoint_id int")
+    for named in (5, 4096):
+        path = str(tmp_path / f"summaries{named}")
+        for batch in (0, 1, 1, 2):  # a repeated batch replaces its own summary
+            tr.append_summary(df.filter(F.col("checkpoint_id") % 3 == batch), path, batch, named)
+        got = tr.summarised_stats(spark.read.schema(tr.SUMMARY).parquet(path), 2).collect()
+        exact = {r.thread_id: r.n for r in tr.thread_stats(df, 2).collect()}
+        assert [r.thread_id for r in got] == ["busy", "odd"] and {r.total_checkpoints for r in got} == {len(rows)}
+        assert all(r.n <= exact[r.thread_id] <= r.n_most for r in got)
+        assert abs(got[0].total_threads - 702) <= 702 * 0.05
+        if named > 702:
+            assert all(r.n == r.n_most == exact[r.thread_id] for r in got)
