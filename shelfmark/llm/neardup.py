@@ -9,8 +9,9 @@
   only. After grouping, the members of buckets that still hold several groups are checked against one pivot drawn
   from their bucket, ``PIVOTS`` times over: a text meets other pivots in each of its buckets, so groups with a link
   between them soon fall together. Then the pairs *across* the groups left in a bucket are checked, but for those
-  that the shingles found in one text only rule out. So no link between groups is missed and no bucket is expanded
-  into all its pairs.
+  that an exact bound on their common shingles rules out inside the join: the shingles found in one text only are
+  common to no pair, and a shingle common to two texts sets the same bit in their bitmaps. So no link between groups is
+  missed and a bucket hands on next to none of the pairs that are no links.
 * A link counts only if the full shingle sets (64-bit shingle hashes) reach the similarity.
 
 With ``bands=72, rows=8`` a pair of similarity 0.8 shares no band with probability 1.8e-6, a pair of 0.3 shares
@@ -159,6 +160,32 @@ def _shingle_rows(k: int):
     return run
 
 
+#: Words of a bitmap; it says little of texts with far more shingles than its bits.
+BITMAP = 64
+
+
+def _bitmaps(k: int):
+    """``rep, bits, extra``: which of ``64 * BITMAP`` codes the shingles of a text have, and how many share a code with another.
+
+    Two texts have at most as many shingles in common as bits, and the smaller ``extra``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textkit.pieces(batches, "text"):
+            elements, first = textkit.shingle_sets(textkit.words(batch.column("text"), lower=True), k)
+            n = batch.num_rows
+            owner = np.repeat(np.arange(n), np.diff(first))
+            code = (textkit.mix(elements, 77) % U64(64 * BITMAP)).astype(np.int64)
+            cell = np.unique(owner * 64 * BITMAP + code)
+            bits = np.zeros(n * BITMAP, U64)
+            np.bitwise_or.at(bits, cell // 64, U64(1) << (cell % 64).astype(U64))
+            codes = np.bincount(cell // (64 * BITMAP), minlength=n)
+            words = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BITMAP, BITMAP), pa.int32()), pa.array(bits.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), words, pa.array(np.diff(first) - codes)], ["rep", "bits", "extra"])
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame, k: int = 5, share: int = 80, bands: int = 72, rows: int = 8, text: str = "text"
 ) -> DataFrame:
@@ -215,12 +242,17 @@ def near_duplicates(
             # shingles that no other text left has can be in no intersection: an exact bound for every pair
             left = texts.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
             once = left.mapInArrow(_shingle_rows(k), "doc_id long, g long").groupBy("g").agg(F.min("doc_id").alias("of"), F.max("doc_id").alias("last"))
-            alone = materialize(once.filter("of = last").groupBy("of").agg(F.count("*").alias("alone")), "own-shingles")
-            a, b = (
-                x.join(alone.withColumnsRenamed({"of": s, "alone": f"alone_{s}"}), s, "left").fillna(0, [f"alone_{s}"]) for x, s in ((a, "a"), (b, "b"))
-            )
-            enough = f"{100 + share} * least(n_a - alone_a, n_b - alone_b) >= {share} * (n_a + n_b)"
-            across = a.join(b, "bucket").filter(f"a < b and label_a <> label_b and {enough}")
+            alone = once.filter("of = last").groupBy(F.col("of").alias("rep")).agg(F.count("*").alias("alone"))
+            known = materialize(left.mapInArrow(_bitmaps(k), "rep long, bits array<long>, extra long").join(alone, "rep", "left").fillna(0, ["alone"]), "own-shingles")
+            # a text that shares too little with all others together links with none
+            able = rest.join(known, "rep").filter(f"100 * (n - alone) >= {share} * n").select("bucket", "rep", "label", "n", (F.col("n") - F.col("alone")).alias("most"), "bits", "extra")
+            a, b = (able.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("label", "n", "most", "bits", "extra")], F.col("rep").alias(s)) for s in "ab")
+            needed = f"{share} * (n_a + n_b)"
+            same_bits = "aggregate(zip_with(bits_a, bits_b, (x, y) -> bit_count(x & y)), 0, (s, x) -> s + x)"
+            across = a.join(b, "bucket").filter(
+                f"a < b and label_a <> label_b and {100 + share} * least(most_a, most_b) >= {needed} "
+                f"and {100 + share} * ({same_bits} + least(extra_a, extra_b)) >= {needed}"
+            ).select("a", "b", "n_a", "n_b")
         pairs = untried(across, tried)
         found = materialize(confirmed(pairs), "links")
         tried = tried.unionByName(pairs)
