@@ -11,7 +11,8 @@ from shelfmark.operators.chunking import chunk_docs, chunk_docs_lateral
 from shelfmark.plans.bindings import CHUNKS, strip_sql, tokens_sql, with_sql
 from shelfmark.plans.registry import query
 from shelfmark.sources import chunk_store as store
-from shelfmark.sources.corpus import chunks_of, rows_to_text, union_sheets
+from shelfmark.sources.corpus import STAGE_SCHEMA, chunks_of, list_corpus, read_eval_jsonl, read_text_docs, read_usage, rows_to_text, union_sheets
+from shelfmark.sources.sinks import timed, write_jsonl
 
 PAGE_LINES = 40
 
@@ -413,3 +414,75 @@ def doc_issues(t):
 SELECT hash, path, copies FROM (SELECT *, count(*) OVER (PARTITION BY hash) AS copies FROM files) WHERE copies > 1""")
 def dup_groups(t):
     return quality.dup_groups(files(t).select("path", "hash"))
+
+
+# --- files written from the tables and read back -----------------------------------------
+
+
+@query("corpus_listing", """
+SELECT source, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes,
+       CAST(sum(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1) AS BIGINT) AS lines
+FROM documents GROUP BY source""")
+def corpus_listing(t):
+    """The documents as one text file per source: listed by kind and size, then read whole. Files of other kinds are not listed."""
+    root = work_dir(t.spark, "corpus")
+    rows = t["documents"].select("source", F.coalesce("text", F.lit("")).alias("value"))
+    rows.repartition("source").write.partitionBy("source").text(f"{root}/texts")
+    rows.limit(1).select("value").write.orc(f"{root}/other")
+    found = list_corpus(t.spark, root)
+    texts = read_text_docs(t.spark, f"{root}/texts").select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.size(text_lines(F.col("text"))).alias("lines"))
+    both = found.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length").join(texts, "path")
+    source = F.regexp_extract("path", "source=([^/]+)/", 1)
+    # a file ends with a line break, behind which no line begins
+    return both.groupBy(source.alias("source")).agg(F.sum("length").alias("bytes"), F.sum(F.col("lines") - 1).cast("bigint").alias("lines"))
+
+
+@query("eval_jsonl", f"""
+SELECT text AS question, text AS ground_truth, 'item_' || CAST(item_id AS VARCHAR) AS source_file, CAST(item_id % 30 AS INT) AS page
+FROM benchmark WHERE {strip_sql('text')} <> ''""")
+def eval_jsonl(t):
+    """Evaluation records exported as JSON lines and read back from among broken, blank and empty ones."""
+    path = work_dir(t.spark, "eval")
+    b = t["benchmark"]
+    write_jsonl(b.select(
+        F.col("text").alias("question"), F.col("text").alias("ground_truth"), F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("source_file"),
+        (F.col("item_id") % 30).cast("int").alias("page"), F.lit("报告").alias("industry"), F.col("text").alias("chunk_text"),
+    ), path)
+    broken = F.explode(F.array(F.concat(F.lit('{"question": "'), F.col("item_id").cast("string")), F.lit(""), F.lit('{"question": " "}'), F.lit("no json")))
+    b.select(broken.alias("value")).write.mode("append").text(path)
+    return read_eval_jsonl(t.spark, path).select("question", "ground_truth", "source_file", "page")
+
+
+@query("usage_jsonl", """
+SELECT 'user-' || CAST(user_id AS VARCHAR) AS username, CAST(event_id AS VARCHAR) AS thread_id, epoch_us(ts) // 1000 AS ms, value AS latency_ms,
+       CAST(floor(value) AS BIGINT) AS prompt_tokens, CAST(floor(value * 2) AS BIGINT) AS total_tokens FROM events""")
+def usage_jsonl(t):
+    """The usage log written as JSON lines and scanned with its record schema; fields that a line lacks are null."""
+    path = work_dir(t.spark, "usage")
+    e = t["events"]
+    write_jsonl(e.select(
+        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("username"), F.col("event_id").cast("string").alias("thread_id"),
+        F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("latency_ms"),
+        F.floor("value").cast("bigint").alias("prompt_tokens"), F.floor(F.col("value") * 2).cast("bigint").alias("total_tokens"),
+    ), path)
+    return read_usage(t.spark, path).filter("completion_tokens is null").select(
+        "username", "thread_id", F.unix_millis("ts").alias("ms"), "latency_ms", "prompt_tokens", "total_tokens"
+    )
+
+
+@query("timing_log", """
+SELECT lang AS stage, CASE WHEN lang = 'es' THEN 'failed: ValueError' ELSE 'success' END AS status, true AS measured, count(*) > 0 AS counted FROM documents GROUP BY lang""")
+def timing_log(t):
+    """One timing record per language, each around a pass over its documents; one pass fails and is recorded all the same."""
+    path = work_dir(t.spark, "timings")
+    for (lang,) in t["documents"].select("lang").distinct().collect():
+        mine = t["documents"].filter(F.col("lang").eqNullSafe(F.lit(lang)))
+        try:
+            with timed(t.spark, lang, path, doc_count=mine.count(), lang=lang):
+                mine.agg(F.sum(F.length("text"))).first()
+                if lang == "es":
+                    raise ValueError("the parser gave up")
+        except ValueError:
+            pass
+    log = t.spark.read.schema(STAGE_SCHEMA).json(path)
+    return log.select("stage", "status", (F.col("elapsed_s") >= 0).alias("measured"), (F.col("docs_per_sec") > 0).alias("counted"))
