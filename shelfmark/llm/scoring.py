@@ -9,7 +9,8 @@ arcs out of every state sum to one.
 The automaton holds the whole training text and is no broadcast: it lies in shards by word and by pair of words. The
 traversal of a text takes ``log back(v) + log p(w)`` for every step ``v -> w`` and, where an arc exists, the difference
 that the arc makes; so each document sends its distinct words and pairs to their shards once and sums up what comes back.
-Words are 64-bit hashes.
+The commonest words, at most ``HEAD`` of them, travel to the texts and to the pairs instead: what they add to a document
+is summed where it is read, so a word of every document is in no one's shard. Words are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from shelfmark.llm import textkit
 CUTOFF = 2
 #: Pairs are counted and sent to their shards in so many turns, each a part of the shards, to bound the shuffle on disk.
 TURNS = 3
+#: Commonest words that travel: 40 bytes each, a few times that in a task.
+HEAD = 1 << 17
 #: States that are no words.
 START, END = (int(x) for x in textkit.mix(np.array([1, 2], np.uint64), 99).view(np.int64))
 
@@ -84,11 +87,39 @@ def _pair_counts(turn: int):
     return run
 
 
-def _words_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in textkit.pieces(batches, "text"):
-        _, w, owner = _steps(batch.column("text"))
-        at, n = _distinct(w, owner)
-        yield _rows(["row", "w", "n"], np.asarray(batch.column("row"))[owner[at]], w[at], n.astype(np.int32))
+def _words_of_rows(head):
+    """``row, w, n, ends, known, base, steps``: one row per text for its words in ``head``, summed, and one for each other word.
+
+    The sums of a text have its ``row`` for ``w`` and no ``n``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, base, step = head.value
+        for batch in textkit.pieces(batches, "text"):
+            _, w, owner = _steps(batch.column("text"))
+            texts = batch.num_rows
+            at = np.minimum(np.searchsorted(common, w), max(len(common) - 1, 0))
+            here = common[at] == w if len(common) else np.zeros(len(w), bool)
+            row = np.asarray(batch.column("row"))
+            sums = [np.bincount(owner[here], minlength=texts), *[np.bincount(owner[here], x[at[here]], texts) for x in (base, step)]]
+            ends = np.bincount(owner[w == END], minlength=texts) if here[w == END].any() else np.zeros(texts, np.int64)
+            w, owner = w[~here], owner[~here]
+            first, n = _distinct(w, owner)
+            tail = len(first)
+
+            def both(of_text, of_word):
+                return np.concatenate([of_text, of_word])
+
+            missing = pa.array(both(np.zeros(texts, np.int32), n.astype(np.int32)), mask=both(np.ones(texts, bool), np.zeros(tail, bool)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(both(row, row[owner[first]])), pa.array(both(row, w[first])), missing, pa.array(both(ends, np.zeros(tail, np.int64))),
+                    pa.array(both(sums[0], np.zeros(tail, np.int64))), pa.array(both(sums[1], np.zeros(tail))), pa.array(both(sums[2], np.zeros(tail))),
+                ],
+                ["row", "w", "n", "ends", "known", "base", "steps"],
+            )
+
+    return run
 
 
 def _pairs_of_rows(turn: int):
@@ -96,11 +127,33 @@ def _pairs_of_rows(turn: int):
         for batch in textkit.pieces(batches, "text"):
             v, w, owner = _of_turn(turn, *_steps(batch.column("text")))
             at, n = _distinct(v, w, owner)
-            yield _rows(["row", "v", "w", "n"], np.asarray(batch.column("row"))[owner[at]], v[at], w[at], n.astype(np.int32))
+            yield _rows(["row", "pair", "n"], np.asarray(batch.column("row"))[owner[at]], _pair(v[at], w[at]), n.astype(np.int32))
 
     return run
 
 
+def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return textkit.mix(textkit.mix(v.view(np.uint64), 61) ^ w.view(np.uint64), 62).view(np.int64)
+
+
+def _named_arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        v, w, gain = (np.asarray(batch.column(c)) for c in ("v", "w", "gain"))
+        yield _rows(["pair", "gain"], _pair(v, w), gain)
+
+
+def _least_count(words: DataFrame, most: int) -> int:
+    """The least count of the commonest words of which there are at most ``most``."""
+    steps = words.groupBy(F.floor(F.log2("c") * 8).alias("step")).agg(F.count("*").alias("words"), F.min("c").alias("c")).orderBy(F.col("step").desc())
+    least, total = 1 << 62, 0
+    for _, n, c in steps.collect():  # a few hundred steps
+        total += n
+        if total > most:
+            break
+        least = c
+    return least
+
+
 def log_probabilities(docs: DataFrame, text: str = "text", cutoff: int = CUTOFF) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs``.
 
@@ -141,28 +194,42 @@ def log_probabilities(docs: DataFrame, text: str = "text", cutoff: int = CUTOFF)
         .select("w", base(F.col("c")).alias("base"), F.log10("p").alias("log_p"), F.coalesce(F.log10("back"), F.lit(0.0)).alias("log_back")), "lexicon",
     )
 
+    least = _least_count(words, HEAD)
+    common = {
+        "v": F.broadcast(states.filter(F.col("total") >= least)),
+        "w": F.broadcast(single.filter(F.col("c") >= least).select("w", "p")),
+    }
+    head = lexicon.join(words.filter(F.col("c") >= least).select("w"), "w", "left_semi").select("w", "base", (F.col("log_p") + F.col("log_back")).alias("step")).toPandas().sort_values("w")
+    shipped = docs.sparkSession.sparkContext.broadcast(tuple(head[c].to_numpy() for c in ("w", "base", "step")))
+
     # equal rows share a key; every row has one end, so the ends tell by how many rows the sums are shared
     numbered = texts.withColumn("row", F.xxhash64("doc_id", "text"))
     sent = numbered.select("row", "text")
-    new_word = [F.coalesce(c, d).alias(a) for c, d, a in (
-        (F.col("base"), base(F.lit(0)), "base"), (F.col("log_p") + F.col("log_back"), F.log10(F.lit(unknown)), "step"))]
-    pair = F.xxhash64("v", "w").alias("pair")
+    new_word = [F.coalesce("word_base", base(F.lit(0))), F.coalesce(F.col("log_p") + F.col("log_back"), F.log10(F.lit(unknown)))]
     gains = []
     for turn, part in enumerate(parts):
-        arcs = materialize(part.join(states, "v").join(single.select("w", "p"), "w").select(pair, difference.alias("gain")), "arcs")
+        # most pairs are of two common words, whose states travel; the others go to the shards of theirs
+        met = part.join(common["v"], "v", "left").join(common["w"], "w", "left")
+        whole = F.col("total").isNotNull() & F.col("p").isNotNull()
+        other = met.filter(~whole).select("v", "w", "c2").join(states, "v").join(single.select("w", "p"), "w")
+        weighed = met.filter(whole).select("v", "w", difference.alias("gain")).unionByName(other.select("v", "w", difference.alias("gain")))
+        arcs = materialize(weighed.mapInArrow(_named_arcs, "pair long, gain double"), "arcs")
         discard(part)
-        by_pair = sent.mapInArrow(_pairs_of_rows(turn), "row long, v long, w long, n int").select("row", "n", pair)
+        by_pair = sent.mapInArrow(_pairs_of_rows(turn), "row long, pair long, n int")
         met = by_pair.join(arcs.hint("shuffle_hash"), "pair")
         gains.append(materialize(met.groupBy("row").agg(F.sum(F.col("n") * F.col("gain")).alias("gain")), "pair-sums"))
         discard(arcs)
     # the words go last, when the pairs are gone from disk
-    by_word = sent.mapInArrow(_words_of_rows, "row long, w long, n int").join(lexicon.hint("shuffle_hash"), "w", "left").select(
-        "row", "n", (F.col("w") == END).alias("is_end"), F.col("base").isNotNull().alias("known"), *new_word
+    tail = F.col("n").isNotNull()
+    by_word = sent.mapInArrow(_words_of_rows(shipped), "row long, w long, n int, ends long, known long, base double, steps double").join(
+        lexicon.withColumnRenamed("base", "word_base").hint("shuffle_hash"), "w", "left"
+    ).select(
+        "row", F.when(tail & (F.col("w") == END), F.col("n")).otherwise(F.col("ends")).alias("rows"),
+        F.when(tail, F.col("n")).otherwise(F.col("known")).alias("n_tokens"),
+        F.when(~tail, F.col("known")).when(F.col("word_base").isNotNull(), F.col("n")).otherwise(0).alias("n_known"),
+        F.when(tail, F.col("n") * new_word[0]).otherwise(F.col("base")).alias("base_score"), F.when(tail, F.col("n") * new_word[1]).otherwise(F.col("steps")).alias("steps"),
     )
-    word_sums = materialize(by_word.groupBy("row").agg(
-        F.sum(F.when(F.col("is_end"), F.col("n"))).alias("rows"), F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("n") * F.col("base")).alias("base_score"), F.sum(F.col("n") * F.col("step")).alias("steps"),
-    ), "word-sums")
+    word_sums = materialize(by_word.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base_score", "steps")]), "word-sums")
     pair_sums = reduce(DataFrame.unionByName, gains).groupBy("row").agg(F.sum("gain").alias("gain"))
     base_score = F.col("base_score") / F.col("rows")
     score = (F.col("steps") + F.coalesce("gain", F.lit(0.0))) / F.col("rows") + F.lit(entry) if n else base_score

@@ -33,7 +33,9 @@ def full_scores(rows):
     return Counter((d, round(sum(math.log10(p(a, x)) for a, x in zip(["^", *lower(t)], [*lower(t), "$"])), 6)) for d, t in rows)
 
 
-def test_op7_keeps_pairs_seen_once(spark, edge_docs, tmp_path):
+@pytest.mark.parametrize("head", [1 << 17, 12, 0])
+def test_op7_keeps_pairs_seen_once(spark, edge_docs, tmp_path, monkeypatch, head):
+    monkeypatch.setattr(scoring, "HEAD", head)  # however many of the commonest words travel
     edge_docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.QUERIES["op7_backoff_automaton_scores"](spark, str(tmp_path)).collect()
     assert Counter((r["doc_id"], round(r["score"], 6)) for r in got) == full_scores(ROWS)
