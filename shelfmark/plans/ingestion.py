@@ -365,9 +365,13 @@ def table_markdown(t):
     return markdown_tables(t)
 
 
-@query("doc_chunks")
+@query("doc_chunks", with_sql(BLOCKS, SUPPRESSED, READING, TABLES_MD, """parts AS (
+  SELECT doc_id, page, 'chunk' AS kind, 'text' AS doc_type, page_text AS content FROM page_texts WHERE page_text <> ''
+  UNION ALL SELECT o_custkey, table_id, 'table', 'table', markdown FROM tables JOIN orders ON o_orderkey = table_id)""") + """
+SELECT 'customers/' || CAST(doc_id AS VARCHAR) || '.pdf::page_' || CAST(page AS VARCHAR) || '::' || kind || '_0' AS chunk_id,
+       '/corpus/customers/' || CAST(doc_id AS VARCHAR) || '.pdf' AS source, page, doc_type, 'customers' AS industry, content FROM parts""")
 def doc_chunks(t):
-    """Text chunks in reading order together with whole tables, one id space per page."""
+    """Text chunks in reading order together with whole tables, one id space per page. A page's text fits into one chunk here."""
     texts = chunk_docs(page_texts(t).select("doc_id", "page", F.col("page_text").alias("text")))
     orders = t["orders"].select(F.col("o_orderkey").alias("table_id"), F.col("o_custkey").alias("doc_id"))
     tables = markdown_tables(t).join(orders, "table_id")
