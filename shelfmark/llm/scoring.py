@@ -27,7 +27,7 @@ from shelfmark.functions.session import discard, materialize
 from shelfmark.llm import textkit
 
 #: Pairs of words seen less often in the training documents have no arc of their own; 1 keeps every pair.
-CUTOFF = 2
+CUTOFF = 1
 #: Pairs are counted and sent to their shards in so many turns, each a part of the shards, to bound the shuffle on disk.
 TURNS = 3
 #: Commonest words that travel: 40 bytes each, a few times that in a task.
