@@ -15,7 +15,7 @@ from shelfmark.operators.postings import index_topk, update_index
 from shelfmark.operators.results import result_flat, result_rows
 from shelfmark.plans.bindings import (
     CACHE, CACHE_NOW, CHUNKS, DENSE, FUSED, LEXICAL, QUERIES_SQL, RERANKED, RETRIEVAL, WS_SQL,
-    asked_before, asked_now, cache_now, strip_sql, tokens_sql, with_sql, _slots,
+    asked_before, asked_now, cache_now, strip_sql, with_sql, _slots,
 )
 from shelfmark.plans.knowledge import knowledge_query as run_knowledge_query, retrieve
 from shelfmark.plans.registry import query
