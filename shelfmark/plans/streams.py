@@ -6,7 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from shelfmark.functions.session import work_dir
+from shelfmark.functions.session import materialize, work_dir
 from shelfmark.functions.text import query_hash
 from shelfmark.operators import requests as rq
 from shelfmark.plans.bindings import strip_sql, with_sql
@@ -107,10 +107,16 @@ def shuffled_arrivals(t, rows, key: str, tick):
     arrives = F.unix_seconds("ts") + delay
     first = F.unix_seconds(F.lit("2024-01-01").cast("timestamp"))
     ten_days = 10 * 86400
+    rows = materialize(rows, "arrivals")  # each part is a filter of them
     parts = [rows.filter(F.least(F.lit(2), F.greatest(F.lit(0), F.floor((arrives - first) / ten_days))) == i) for i in range(3)]
     return arrivals([*parts, t.spark.createDataFrame([tick], rows.schema)], work_dir(t.spark, "arrivals"))
 
 
+def shares(t) -> int:
+    """Keys that share out the requests, so that a key's rows stay few and all tasks have keys."""
+    return max(64, t["events"].count() // 50_000)
+
+
 def heartbeat():
     return datetime.datetime.fromisoformat(HEARTBEAT)
 
@@ -153,7 +159,7 @@ def stream_request_endings(t):
         "request_id", F.timestamp_add("SECOND", F.col("f.s"), F.col("ts")).alias("ts"), F.col("f.kind").alias("kind"), (F.col("f.share") * F.col("tokens")).alias("tokens")
     )
     stream = shuffled_arrivals(t, rows.withColumn("_k", F.struct("request_id", "ts")), "_k", (-1, heartbeat(), "start", 0, (-1, heartbeat()))).drop("_k")
-    return eo.request_endings(stream, shares=8, lateness=f"{LATENESS} seconds")
+    return eo.request_endings(stream, shares=shares(t), lateness=f"{LATENESS} seconds")
 
 
 CACHE_EVENTS = f"""asked AS (SELECT d.doc_id AS id, md5(lower({strip_sql('d.text')})) AS query_hash, e.ts, l.doc_id IS NOT NULL AS admitted
@@ -175,7 +181,7 @@ def stream_cache_answers(t):
         "id", "ts", kind.alias("kind"), "query_hash", F.when(kind == "admit", F.col("ts") + F.expr("INTERVAL 5 DAY")).alias("expires_at")
     )
     stream = shuffled_arrivals(t, rows, "id", (-1, heartbeat(), "admit", "heartbeat", heartbeat()))
-    return eo.cache_answers(stream, shares=8, lateness=f"{LATENESS} seconds")
+    return eo.cache_answers(stream, shares=shares(t), lateness=f"{LATENESS} seconds")
 
 
 LATE_FROM = "2024-01-16"

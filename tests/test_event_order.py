@@ -89,3 +89,60 @@ def test_late_rows_are_reported(spark, late):
     parts = [rows[:40], rows[40:], [(100 + i, at(i), "b") for i in range(late)] + [(200, at(595), "b")]]
     counts, dropped = rs.window_counts_and_late(stream(spark, parts, "request_id long, ts timestamp, bucket string"))
     assert dropped == late and sum(r.n for r in counts.collect()) == 61
+
+
+def test_many_rows_wait_in_small_pieces(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, at(i % 3000 + d), kind, i % 5) for i in range(400) for d, kind in ((0, "start"), (rng.randrange(1, 140), "token"), (rng.randrange(1, 200), "done"))]
+    parts = [*out_of_order(rows, 9, parts=4), [(-1, END, "start", 0)]]
+    schema = "request_id long, ts timestamp, kind string, tokens long"
+    whole = eo.request_endings(stream(spark, parts, schema), shares=1).collect()
+    packed = eo._pack
+    sizes = []
+    processor = eo.Lifecycle()
+    processor.schema, processor.waiting, processor.numbers = eo._schema(processor.row), Entries(), Value()
+    monkeypatch.setattr(eo, "PIECE", 7)
+    monkeypatch.setattr(eo, "_pack", lambda table: sizes.append(len(table)) or packed(table))
+    table = eo.pa.Table.from_pylist([{"us": us(i * 37 % 100), "request_id": i, "kind": "token", "tokens": i} for i in range(100)], processor.schema)
+    assert processor._keep(table) == us(0) and max(sizes) == 7 and sum(sizes) == 100
+    due, rest = processor._due(us(40))
+    assert due.column("us").to_pylist() == [us(i) for i in range(40)] and rest == us(40)
+    assert processor._due(us(1000))[0].column("us").to_pylist() == [us(i) for i in range(40, 100)] and not processor.waiting.held
+    assert len(whole) == 400 and sum(r.frames for r in whole) <= 1200
+    for r in whole:
+        mine = sorted((t, k, n) for i, t, k, n in rows if i == r.request_id)
+        ends = [t for t, k, _ in mine if k == "done" and (t - mine[0][0]).total_seconds() <= 120]
+        assert r.outcome == ("done" if ends else "timeout")
+
+
+class Value:
+    held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+    def clear(self):
+        self.held = None
+
+
+class Entries:
+    def __init__(self):
+        self.held = {}
+
+    def exists(self):
+        return bool(self.held)
+
+    def iterator(self):
+        return iter(list(self.held.items()))
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+
+    def removeKey(self, key):
+        del self.held[key]
