@@ -13,6 +13,8 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from shelfmark.functions.session import work_dir
 
+#: Files of a part that arrives as one micro-batch: four for every core, at most this many.
+PART_FILES = 64
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -39,19 +41,36 @@ def rocksdb_state(spark: SparkSession):
 def stream_table(
     spark: SparkSession, folder: str, name: str, schema: T.StructType, files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Stream the parquet file(s) ``name*`` of a folder."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    """Stream the parquet tables ``name*`` of a folder, each a file or a folder of files."""
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    return reader.parquet(f"{folder}/{name}*.parquet")
 
 
-def arrivals(parts: Sequence[DataFrame], folder: str) -> DataFrame:
-    """A stream of ``parts`` that arrive one after the other, a micro-batch each, in the order given."""
+def arrivals(parts: Sequence[DataFrame], folder: str, files: int | None = None) -> DataFrame:
+    """A stream of ``parts`` that arrive one after the other, a micro-batch each, in the order given.
+
+    A part is written by up to ``files`` tasks. A micro-batch is that number of files, so a part with fewer gets copies of
+    an empty one before the next part is written.
+    """
     spark = parts[0].sparkSession
+    files = files or min(PART_FILES, 4 * spark.sparkContext.defaultParallelism)
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    system = hadoop.Path(folder).getFileSystem(conf)
+
+    def written(path: str) -> list:
+        return [f.getPath() for f in system.listStatus(hadoop.Path(path)) if f.getPath().getName().endswith(".parquet")]
+
+    parts[0].limit(0).coalesce(1).write.parquet(f"{folder}/empty")
+    empty = written(f"{folder}/empty")[0]
     for no, part in enumerate(parts):
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/part={no}")
-    reader = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1)
+        path = f"{folder}/part={no}"
+        part.coalesce(files).write.mode("append").parquet(path)
+        missing = files - len(written(path)) if no < len(parts) - 1 else 0
+        for i in range(missing):
+            hadoop.FileUtil.copy(system, empty, system, hadoop.Path(f"{path}/empty-{i}.parquet"), False, conf)
+    reader = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files)
     return reader.parquet(f"{folder}/part=*")
 
 
