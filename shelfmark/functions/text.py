@@ -36,8 +36,11 @@ def char_bigrams(c: Column) -> Column:
 
 def trim_three_dots(c: Column, limit: int) -> Column:
     """Strip, then cut to ``limit`` characters including a closing ``...``."""
-    s = strip(F.coalesce(c, F.lit("")))
-    return F.when(F.length(s) <= limit, s).otherwise(F.concat(F.substring(s, 1, max(limit - 3, 0)), F.lit("...")))
+    s = F.coalesce(c, F.lit(""))
+    # a long text is not searched for white space at its end: one character behind the limit that is none decides
+    s = F.when(F.regexp_like(F.substring(s, 1, 1), F.lit(WS)), lstrip(s)).otherwise(s)
+    longer = F.regexp_like(F.substring(s, limit + 1, 2**31 - 1), F.lit(f"[^{WS[1:]}"))
+    return F.when(longer, F.concat(F.substring(s, 1, max(limit - 3, 0)), F.lit("..."))).otherwise(rstrip(F.substring(s, 1, limit)))
 
 
 def trim_one_dot(c: Column, limit: int) -> Column:

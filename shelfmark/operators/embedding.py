@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 64
+#: Characters whose terms stand in memory together, and terms whose codes a task remembers.
+PIECE_CHARS, CODES = 1 << 20, 1 << 17
 
 
 class _TermCodes(dict):
     """Term to ``2 * slot + (1 if the sign is negative)``; forgets everything when it gets large."""
 
-    def __init__(self, dimensions: int, limit: int = 1 << 20):
+    def __init__(self, dimensions: int, limit: int = CODES):
         super().__init__()
         self.dimensions, self.limit = dimensions, limit
 
@@ -30,19 +32,33 @@ class _TermCodes(dict):
 
 
 def hash_counts(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Signed white-space term counts per slot, as whole numbers in doubles; one Arrow batch at a time."""
+    """Signed white-space term counts per slot, as whole numbers in doubles; about ``PIECE_CHARS`` characters at a time."""
     width = 2 * dimensions
 
+    def pieces(texts: pd.Series) -> Iterator[list[str]]:
+        piece, chars = [], 0
+        for t in texts:
+            piece.append(t or "")
+            chars += len(piece[-1])
+            if chars >= PIECE_CHARS:
+                yield piece
+                piece, chars = [], 0
+        if piece:
+            yield piece
+
+    def count(codes: _TermCodes, texts: list[str]) -> np.ndarray:
+        rows = [t.split() for t in texts]
+        sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+        flat = np.fromiter(map(codes.__getitem__, chain.from_iterable(rows)), dtype=np.int64, count=sizes.sum())
+        cells = np.repeat(np.arange(len(rows)) * width, sizes) + flat
+        both = np.bincount(cells, minlength=len(rows) * width).reshape(len(rows), dimensions, 2)
+        return (both[:, :, 0] - both[:, :, 1]).astype(np.float64)
+
     @F.pandas_udf("array<double>")
     def count_slots(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codes = _TermCodes(dimensions)
         for texts in batches:
-            rows = [(t or "").split() for t in texts]
-            sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-            flat = np.fromiter(map(codes.__getitem__, chain.from_iterable(rows)), dtype=np.int64, count=sizes.sum())
-            cells = np.repeat(np.arange(len(rows)) * width, sizes) + flat
-            both = np.bincount(cells, minlength=len(rows) * width).reshape(len(rows), dimensions, 2)
-            yield pd.Series(list((both[:, :, 0] - both[:, :, 1]).astype(np.float64)))
+            yield pd.Series([v for piece in pieces(texts) for v in count(codes, piece)])
 
     return count_slots(text)
 
