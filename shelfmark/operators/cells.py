@@ -13,7 +13,9 @@ cell in which an angle up to that score is possible:
 * a member is at least as near to its own pivot as to the question's, so half the difference of the question's angles
   to the two pivots is no more than the angle between the two.
 
-A slice that very many questions ask is sent to several tasks with a share of them each.
+Slices next to each other in a cell travel together as a region, so that vectors are sent once for many comparisons. A
+region that very many questions ask is sent to several tasks with a share of them each. With a score to beat, only pairs
+that reach it are looked at further.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from pyspark.sql import types as T
 from shelfmark.functions.session import materialize
 from shelfmark.functions.sizing import broadcast_if_bounded
 
-#: Rows of a slice, questions that meet a slice in one task, corpus rows per pivot, and the most pivots.
-SLICE, ASKED, PER_PIVOT, MAX_PIVOTS = 4096, 2048, 8192, 4096
+#: Rows of a slice, rows of a region of slices, questions that meet a region in one task, corpus rows per pivot, and the most pivots.
+SLICE, REGION, ASKED, PER_PIVOT, MAX_PIVOTS = 4096, 8192, 16384, 8192, 4096
+#: Scores that stand in memory at once.
+SCORES = 1 << 22
 #: Steps in which angles are counted to cut a cell; scores are rounded to six digits, angles are off by rounding errors.
 STEPS, SCORE_SLACK, ANGLE_SLACK = 1024, 2e-6, 1e-7
 
@@ -80,12 +84,15 @@ class Cells:
         steps = steps.withColumn("_before", F.coalesce(F.sum("_n").over(up_to), F.lit(0)))
         # many vectors at one angle (copies, say) share a step and are dealt to its places by hash
         place = F.col("_before") + F.pmod(F.xxhash64("chunk_id"), F.col("_n"))
+        together = slice_rows * max(1, REGION // slice_rows)
         self.members = materialize(
-            homed.join(broadcast_if_bounded(steps), ["cell", "step"]).select("chunk_id", "vec", "cell", "angle", F.floor(place / slice_rows).cast("int").alias("slice")),
+            homed.join(broadcast_if_bounded(steps), ["cell", "step"]).select(
+                "chunk_id", "vec", "cell", "angle", F.floor(place / slice_rows).cast("int").alias("slice"), F.floor(place / together).cast("int").alias("region")
+            ),
             "members",
         )
         self.slices = materialize(
-            self.members.groupBy("cell", "slice").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("rows")), "slices"
+            self.members.groupBy("cell", "region", "slice").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("rows")), "slices"
         )
 
     def nearest_slice(self, asked: DataFrame) -> DataFrame:
@@ -93,12 +100,12 @@ class Cells:
         homed = _at_home(asked, self.pivots)
         apart = F.greatest(F.col("low") - F.col("angle"), F.col("angle") - F.col("high"), F.lit(0.0))
         near = homed.select("query_id", "cell", "angle").join(broadcast_if_bounded(self.slices), "cell").groupBy("query_id").agg(
-            F.min_by(F.struct("cell", "slice", "rows"), F.struct(apart, "slice")).alias("s")
+            F.min_by(F.struct("cell", "region", "slice", "rows"), F.struct(apart, "slice")).alias("s")
         )
         return near.select("query_id", "s.*")
 
     def possible_slices(self, asked: DataFrame) -> DataFrame:
-        """``query_id, cell, slice, rows`` in which ``asked(query_id, vec, least)`` may have a score of ``least`` or more."""
+        """``query_id, cell, region, slice, rows`` in which ``asked(query_id, vec, least)`` may have a score of ``least`` or more."""
         pivots = self.pivots
 
         @F.pandas_udf("reach double, cells array<struct<cell: int, angle: double>>")
@@ -114,57 +121,88 @@ class Cells:
         to = asked.withColumn("_r", reachable("vec", F.col("least"))).select("query_id", "_r.reach", F.explode("_r.cells").alias("c"))
         apart = F.greatest(F.col("low") - F.col("angle"), F.col("angle") - F.col("high"))
         return to.select("query_id", "reach", "c.*").join(broadcast_if_bounded(self.slices), "cell").filter(apart <= F.col("reach")).select(
-            "query_id", "cell", "slice", "rows"
+            "query_id", "cell", "region", "slice", "rows"
         )
 
-    def answer(self, asked: DataFrame, targets: DataFrame, k: int) -> DataFrame:
-        """``query_id, chunk_id, score``: the best ``k`` of each asked slice for ``asked(query_id, vec)``."""
+    def answer(self, asked: DataFrame, targets: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
+        """``query_id, chunk_id, score``: the best ``k`` of each asked region for ``asked(query_id, vec, least)``, if they reach ``least``.
+
+        With ``exclude_self`` members with the question's id are none of them, however many there are.
+        """
         schema = T.StructType([
             T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("chunk_id", self.schema["chunk_id"].dataType),
             T.StructField("score", T.DoubleType()),
         ])
-        shares = materialize(targets.groupBy("cell", "slice").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("shares")), "shares")
+        shares = materialize(targets.groupBy("cell", "region").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("shares")), "shares")
         small = broadcast_if_bounded(shares)
-        left = targets.select("query_id", "cell", "slice").join(small, ["cell", "slice"]).join(asked.select("query_id", "vec"), "query_id").select(
-            "cell", "slice", F.pmod(F.xxhash64("query_id"), F.col("shares")).cast("int").alias("share"), "query_id", "vec"
+        left = targets.select("query_id", "cell", "region").join(small, ["cell", "region"]).join(asked.select("query_id", "vec", "least"), "query_id").select(
+            "cell", "region", F.pmod(F.xxhash64("query_id"), F.col("shares")).cast("int").alias("share"), "query_id", "vec", "least"
         )
-        right = self.members.join(small, ["cell", "slice"]).select(
-            "cell", "slice", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "chunk_id", "vec"
+        right = self.members.join(small, ["cell", "region"]).select(
+            "cell", "region", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "chunk_id", "vec"
         )
 
         def best(questions: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
             if questions.empty or members.empty:
                 return pd.DataFrame({"query_id": questions["query_id"][:0], "chunk_id": members["chunk_id"][:0], "score": np.zeros(0)})
             members = members.sort_values("chunk_id", ignore_index=True)
-            scores = np.floor(stack(questions["vec"]) @ stack(members["vec"]).T * 1e6 + 0.5) / 1e6
-            rows = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            q = np.repeat(np.arange(len(questions)), rows.shape[1])
-            return pd.DataFrame({
-                "query_id": questions["query_id"].to_numpy()[q], "chunk_id": members["chunk_id"].to_numpy()[rows.ravel()], "score": scores[q, rows.ravel()],
-            })
-
-        by = ["cell", "slice", "share"]
+            asks, least, matrix = stack(questions["vec"]), questions["least"].fillna(-np.inf).to_numpy(dtype=np.float64), stack(members["vec"]).T
+            own_q = own_m = np.zeros(0, np.int64)
+            if exclude_self:
+                ids = questions["query_id"].reset_index(drop=True).rename("id").rename_axis("q").reset_index()
+                own = ids.merge(members["chunk_id"].rename("id").rename_axis("m").reset_index(), on="id").sort_values("q")
+                own_q, own_m = own["q"].to_numpy(), own["m"].to_numpy()
+            found = []
+            step = max(1, SCORES // len(members))
+            for start in range(0, len(asks), step):
+                raw = asks[start : start + step] @ matrix
+                here = slice(*np.searchsorted(own_q, [start, start + len(raw)]))
+                raw[own_q[here] - start, own_m[here]] = -np.inf
+                q, m, scores = best_reaching(raw, least[start : start + step], k)
+                found.append((q + start, m, scores))
+            q, m, scores = map(np.concatenate, zip(*found))
+            return pd.DataFrame({"query_id": questions["query_id"].to_numpy()[q], "chunk_id": members["chunk_id"].to_numpy()[m], "score": scores})
+
+        by = ["cell", "region", "share"]
         return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(best, schema)
 
 
+def best_reaching(raw: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and rounded score of the best ``k`` columns of each row, ties by column, that reach ``least`` of the row; ``-inf`` is none."""
+    reach = raw >= (least - SCORE_SLACK)[:, None]
+    many = np.flatnonzero(reach.sum(axis=1) > 4 * k)
+    if len(many):
+        # equal rounded scores lie within the slack of the k-th best
+        kth = np.partition(raw[many], -k, axis=1)[:, -k]
+        reach[many] &= raw[many] >= (kth - SCORE_SLACK)[:, None]
+    q, m = np.nonzero(reach)
+    real = np.isfinite(raw[q, m])
+    q, m = q[real], m[real]
+    scores = np.floor(raw[q, m] * 1e6 + 0.5) / 1e6
+    order = np.lexsort((m, -scores, q))
+    q, m, scores = q[order], m[order], scores[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], m[keep], scores[keep]
+
+
 def cell_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, *, exclude_self: bool = False, pivots: int | None = None, slice_rows: int = SLICE) -> DataFrame:
     """Exact best ``k`` corpus vectors per question by cosine, ties by id: ``query_id, chunk_id, score, rank``.
 
     ``queries(query_id, vec)`` and ``corpus(chunk_id, vec)`` hold unit vectors and unique ids; rows without a vector take
     no part. With ``exclude_self`` a row is not its own neighbour. Both tables may have any size.
     """
-    need = k + 1 if exclude_self else k
+    if exclude_self:  # without an id nothing tells a row from itself
+        queries, corpus = queries.filter(F.col("query_id").isNotNull()), corpus.filter(F.col("chunk_id").isNotNull())
     asked = materialize(queries.select("query_id", "vec").filter(F.col("vec").isNotNull()), "query-vectors")
     cells = Cells(corpus, pivots, slice_rows)
     if not len(cells.pivots):
         return asked.select("query_id", F.lit(None).cast(corpus.schema["chunk_id"].dataType).alias("chunk_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id").asc())
     first = materialize(cells.nearest_slice(asked), "first-slices")
-    found = materialize(cells.answer(asked, first, need), "first-answers")
-    least = found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") == need).select("query_id", (F.col("score") - SCORE_SLACK).alias("least"))
-    possible = cells.possible_slices(asked.join(least, "query_id", "left"))
-    rest = materialize(possible.join(first, ["query_id", "cell", "slice"], "left_anti"), "other-slices")
-    hits = found.unionByName(cells.answer(asked, rest, need))
-    if exclude_self:
-        hits = hits.filter(F.col("query_id") != F.col("chunk_id"))
+    found = materialize(cells.answer(asked.withColumn("least", F.lit(None).cast("double")), first, k, exclude_self), "first-answers")
+    least = found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") == k).select("query_id", (F.col("score") - SCORE_SLACK).alias("least"))
+    asked = materialize(asked.join(least, "query_id", "left"), "questions")
+    possible = cells.possible_slices(asked).select("query_id", "cell", "region").distinct()
+    rest = materialize(possible.join(first, ["query_id", "cell", "region"], "left_anti"), "other-regions")
+    hits = found.unionByName(cells.answer(asked, rest, k, exclude_self))
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -68,3 +68,37 @@ def test_many_questions_go_to_the_cell_join(spark, monkeypatch):
     corpus, asked = clustered(100), clustered(50, seed=2)
     got = nearest.vector_topk(table(spark, asked, "query_id"), table(spark, corpus, "chunk_id"), 3)
     assert {tuple(r) for r in got.collect()} == brute(asked, corpus, 3)
+
+
+@pytest.mark.parametrize("scores", [50, 1 << 22])
+def test_slices_travel_together(spark, monkeypatch, scores):
+    monkeypatch.setattr(cells, "SCORES", scores)
+    corpus = np.random.default_rng(4).normal(size=(900, 6))
+    corpus = np.round(corpus / np.linalg.norm(corpus, axis=1, keepdims=True), 2)
+    corpus /= np.linalg.norm(corpus, axis=1, keepdims=True)
+    df = table(spark, corpus, "chunk_id")
+    made = Cells(df, pivots=3, slice_rows=16)
+    assert made.slices.count() > 40 and made.slices.select("cell", "region").distinct().count() == 3
+    got = cell_topk(df.withColumnRenamed("chunk_id", "query_id"), df, 5, exclude_self=True, pivots=3, slice_rows=16)
+    assert {tuple(r) for r in got.collect()} == brute(corpus, corpus, 5, exclude_self=True)
+
+
+def test_best_that_reach_a_score():
+    raw = np.array([[0.5, 0.9, 0.5, 0.1], [0.2, 0.2, 0.2, 0.2], [0.3, 0.1, 0.0, 0.2]])
+    q, m, scores = cells.best_reaching(raw, np.array([0.4, -np.inf, 0.9]), 2)
+    assert list(zip(q, m, scores)) == [(0, 1, 0.9), (0, 0, 0.5), (1, 0, 0.2), (1, 1, 0.2)]
+    many = np.tile(np.linspace(0, 1, 101), (3, 1))
+    assert [list(cells.best_reaching(many, np.full(3, -np.inf), 2)[i]) for i in (0, 1)] == [[0, 0, 1, 1, 2, 2], [100, 99] * 3]
+
+
+def test_a_repeated_id_costs_no_neighbour(spark):
+    corpus = clustered(120, centres=3)
+    ids = [*range(100), *range(20)]
+    rows = [(i, corpus[i].tolist()) for i in ids]
+    df = spark.createDataFrame(rows, "chunk_id long, vec array<double>")
+    got = cell_topk(df.withColumnRenamed("chunk_id", "query_id"), df, 6, exclude_self=True, pivots=2, slice_rows=10)
+    want = set()
+    for q in set(ids):
+        pairs = sorted((-float(np.floor(corpus[q] @ corpus[c] * 1e6 + 0.5) / 1e6), c) for c in ids for _ in range(ids.count(q)) if c != q)
+        want |= {(q, c, -s, r + 1) for r, (s, c) in enumerate(pairs[:6])}
+    assert {tuple(r) for r in got.collect()} == want
