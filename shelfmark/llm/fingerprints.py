@@ -91,30 +91,34 @@ def fingerprints(docs: DataFrame, n: int = 32, text: str = "text") -> DataFrame:
     sized = texts.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("own"))
     rows = materialize(sized, "sizes")
     follows = materialize(following(rows), "following")
+    # A key that is never null: no join filters the texts, so they are shuffled by it once and both joins read that.
+    spelt = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    by_key = texts.select(spelt("doc_id").alias("key"), "text")
     # what each next document must lend, at most: the longest quarter among the rows before it
     wanted = rows.groupBy("doc_id").agg(F.max(F.expr("n_chars div 4")).alias("lent")).join(follows, "doc_id")
-    by_id = texts.select(F.col("doc_id").alias("next_id"), "text")
-    heads = by_id.join(wanted, "next_id").groupBy("doc_id").agg(F.min(F.expr("left(text, lent)")).alias("head"))
-    joined = texts.join(heads, "doc_id", "left")
+    wanted = wanted.select(spelt("next_id").alias("key"), spelt("doc_id").alias("before"), "lent")
+    heads = by_key.join(wanted, "key").groupBy(F.col("before").alias("key")).agg(F.min(F.expr("left(text, lent)")).alias("head"))
+    joined = by_key.join(heads, "key", "left")
     quarter = F.expr("char_length(text) div 4")
     edited = F.concat(
         F.expr("left(text, char_length(text) - char_length(text) div 4)"), F.substring(F.coalesce("head", F.lit("")), F.lit(1), quarter)
     )
-    staged = joined.select("doc_id", F.xxhash64("text").alias("own"), "text", edited.alias("edited"))
-    bodies = staged.select("doc_id", "own", F.explode(F.array(
+    staged = joined.select("key", F.xxhash64("text").alias("own"), "text", edited.alias("edited"))
+    bodies = staged.select("key", "own", F.explode(F.array(
         F.struct(F.lit(False).alias("is_edit"), F.col("text").alias("body")), F.struct(F.lit(True).alias("is_edit"), F.col("edited").alias("body")),
     )).alias("v"))
-    bags = bodies.select("doc_id", "own", "v.is_edit", _terms(F.col("v.body")).alias("words"))
-    drawn = samples(bags, ["doc_id", "own", "is_edit"], n)
+    bags = bodies.select("key", "own", "v.is_edit", _terms(F.col("v.body")).alias("words"))
+    drawn = samples(bags, ["key", "own", "is_edit"], n)
     digits = lambda m: F.lower(F.lpad(F.hex(m.bitwiseAND(0xFFFF)), 4, "0"))
-    spelled = drawn.select("doc_id", "own", "is_edit", F.array_join(F.transform("samples", digits), "").alias("print"))
-    by_text = spelled.groupBy(F.col("doc_id").alias("id"), F.col("own").alias("of_text")).agg(
+    spelled = drawn.select("key", "own", "is_edit", F.array_join(F.transform("samples", digits), "").alias("print"))
+    by_text = spelled.groupBy("key", "own").agg(
         F.max(F.when(~F.col("is_edit"), F.col("print"))).alias("fingerprint"), F.max(F.when(F.col("is_edit"), F.col("print"))).alias("edited_fingerprint"),
     )
     # both sides read the same shuffled texts
-    digests = staged.select("doc_id", "own", F.sha2("edited", 256).alias("edited_sha256")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("of_text"))
-    prints = materialize(digests.join(by_text, same).drop("id", "of_text"), "fingerprints")
+    digests = staged.select("key", "own", F.sha2("edited", 256).alias("edited_sha256")).distinct()
+    doc_id = F.nullif("key", F.lit("")).cast("long").alias("doc_id")
+    found = digests.join(by_text, ["key", "own"]).select(doc_id, "own", "edited_sha256", "fingerprint", "edited_fingerprint")
+    prints = materialize(found, "fingerprints")
     next_prints = follows.join(
         prints.groupBy(F.col("doc_id").alias("next_id")).agg(F.collect_set("fingerprint").alias("nexts")), "next_id"
     ).select("doc_id", "nexts")
