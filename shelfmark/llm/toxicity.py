@@ -1,8 +1,8 @@
 """Toxicity by compression distance: windows compress shorter with the dictionary of the text they resemble.
 
-Two zstandard dictionaries are trained on the same labelled texts: one on windows of ordinary text, one on the
-passages of toxic text that set it apart (words that hold a byte sequence found in many toxic and hardly any ordinary
-texts). Every window of a text is compressed with the ordinary dictionary and with the ordinary one followed by the
+Two zstandard dictionaries come from the same labelled texts: one is trained on windows of ordinary text, one holds the
+words of toxic text that cover what sets it apart (byte sequences found in many toxic and hardly any ordinary
+texts), each mark once. Every window of a text is compressed with the ordinary dictionary and with the ordinary one followed by the
 toxic one, so that a difference can only come from toxic matches. The lengths saved are turned into a probability by
 thresholds and weights calibrated on other labelled texts.
 
@@ -11,6 +11,7 @@ Fitting sees at most ``2 * sample`` labelled texts; scoring is one narrow pass o
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -161,6 +162,31 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
         return b" ".join(dict.fromkeys(samples))[-size:]
 
 
+def _cover(words: list[bytes], weight: dict[bytes, float], size: int) -> bytes:
+    """The words that together hold most of the weight of the byte sequences, the heaviest last (the nearest), in ``size`` bytes.
+
+    A word counts for what no word before it holds, so many spellings of one mark leave room for all others.
+    """
+    open_grams = dict(weight)
+    holds = {x: [g for g in sorted(_word_grams(x)) if g in open_grams] for x in words}
+    queue = [(-sum(open_grams[g] for g in grams), x) for x, grams in holds.items()]
+    heapq.heapify(queue)
+    chosen, room = [], size - 1
+    while queue and room > 0:
+        gain, x = heapq.heappop(queue)
+        now = -sum(open_grams.get(g, 0.0) for g in holds[x])
+        if now > gain:  # others hold a part of it by now
+            if now < 0:
+                heapq.heappush(queue, (now, x))
+            continue
+        if now < 0 and len(x) < room:
+            chosen.append(x)
+            room -= len(x) + 1
+            for g in holds[x]:
+                open_grams.pop(g, None)
+    return b" " + b"".join(x + b" " for x in reversed(chosen)) if chosen else b""
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[bytes, bytes, np.ndarray]:
     """Dictionaries and calibration from ``text, toxic (0/1), part`` (0: dictionaries, 1: calibration), at most ``2 * sample`` rows."""
     fold = [labelled.filter(F.col("part") == p).select("text", "toxic") for p in (0, 1)]
@@ -171,18 +197,19 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[bytes, bytes, np.nda
         fold[0].mapInArrow(_gram_counts, "gram binary, toxic long, ordinary long")
         .groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
         .filter((F.col("toxic") >= max(4, math.ceil(0.02 * n_toxic))) & (lift >= 20))
-        .orderBy((F.col("toxic") * F.log(lift)).desc(), "gram").limit(2000).select("gram").collect()
+        .orderBy((F.col("toxic") * F.log(lift)).desc(), "gram").limit(2000)
+        .select("gram", (F.col("toxic") * F.log(lift)).alias("weight")).collect()
     )
+    weight = {bytes(r["gram"]): r["weight"] for r in grams}
     marked = (
-        fold[0].filter("toxic = 1").mapInArrow(_marked_words(frozenset(bytes(r[0]) for r in grams)), "word binary, n long")
+        fold[0].filter("toxic = 1").mapInArrow(_marked_words(frozenset(weight)), "word binary, n long")
         .groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(2000).collect()
     )
-    toxic_samples = [b" " + bytes(r["word"]) + b" " for r in reversed(marked) for _ in range(min(r["n"], 50))]
     ordinary_samples = [
         bytes(r[0]) for r in fold[0].filter("toxic = 0").mapInArrow(_ordinary_windows, "window binary")
         .orderBy(F.xxhash64("window"), "window").limit(20000).collect()
     ]
-    ordinary, toxic = _dictionary(ordinary_samples, ORDINARY_BYTES), _dictionary(toxic_samples, TOXIC_BYTES)
+    ordinary, toxic = _dictionary(ordinary_samples, ORDINARY_BYTES), _cover([bytes(r["word"]) for r in marked], weight, TOXIC_BYTES)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Compressors(ordinary, toxic)
