@@ -44,7 +44,7 @@ def semantic_probe(
     if "write_semantic" in cache.columns:
         current = current.filter("write_semantic")
     entries = current.select(F.col("entry_id").alias("chunk_id"), "vec")
-    best = vector_topk(misses.select("query_id", "vec"), entries, k=1)
+    best = vector_topk(misses.select("query_id", "vec"), entries, k=1, least=threshold)
     return best.filter(F.col("score") >= threshold).select(
         "query_id", F.col("chunk_id").alias("entry_id"), F.col("score").alias("similarity")
     )

@@ -39,18 +39,19 @@ def best_of_batch(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarr
     return asked[real], rows[real]
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, *, exclude_self: bool = False) -> DataFrame:
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, *, exclude_self: bool = False, least: float | None = None) -> DataFrame:
     """Exact best ``k`` corpus vectors per query by cosine, ties by id.
 
     ``queries(query_id, vec)`` and ``corpus(chunk_id, vec)`` hold unit vectors; rows without a vector take no part.
-    With ``exclude_self`` a row is not its own neighbour. Returns ``query_id, chunk_id, score, rank``. Up to ``QUESTIONS``
+    With ``exclude_self`` a row is not its own neighbour. With ``least`` only scores from there on are asked for, others may be
+    missing. Returns ``query_id, chunk_id, score, rank``. Up to ``QUESTIONS``
     questions travel to the tasks; one narrow pass over the corpus multiplies batches of rows and hands on at most ``k``
     rows per question and batch. More questions are joined with the corpus by cells, without passing the driver.
     """
     need = k + 1 if exclude_self else k
     asked = materialize(queries.select("query_id", "vec").filter(F.col("vec").isNotNull()), "query-vectors")
     if asked.count() > QUESTIONS:
-        return cell_topk(asked, corpus, k, exclude_self=exclude_self)
+        return cell_topk(asked, corpus, k, exclude_self=exclude_self, least=least)
     rows = corpus.select("chunk_id", "vec").filter(F.col("vec").isNotNull())
     schema = T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("chunk_id", corpus.schema["chunk_id"].dataType),
